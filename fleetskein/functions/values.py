@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _DECIMAL_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -17,10 +17,39 @@ def json_bigint(doc: Column, key: str) -> Column:
     return json_text(doc, key).try_cast("bigint")
 
 
-def is_one_json_value(payload: Column) -> Column:
-    """Nothing may follow the value: the text must fit both as sole array item and as object member."""
-    as_item = F.json_array_length(F.concat(F.lit("["), payload, F.lit("]"))) == 1
-    as_member = F.get_json_object(F.concat(F.lit('{"p":'), payload, F.lit(',"end":1}')), "$.end") == "1"
+_STRICT = {
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": "unread",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+
+
+def with_document(df: DataFrame, source: str, name: str, ddl: str) -> DataFrame:
+    """Read JSON text strictly: add struct ``name`` with ``value`` (of type ``ddl``) and ``ok``.
+
+    Spark's reader ignores what follows the first value. The text is therefore read
+    as an object member with a sentinel behind it, and must also count as exactly
+    one array item; no text with something behind its value passes both.
+
+    The generator keeps Catalyst from copying the parser into every later
+    expression that touches the result, so each text is parsed once.
+    """
+    text = F.col(source)
+    wrapped = F.concat(F.lit('{"value":'), text, F.lit(',"end":1}'))
+    read = F.from_json(wrapped, f"value {ddl}, end bigint, unread string", _STRICT)
+    raw = f"_{name}"
+    parsed = df.withColumn(raw, F.explode(F.array(read)))
+    one_item = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    ok = one_item & F.col(f"{raw}.unread").isNull() & (F.col(f"{raw}.end") == 1)
+    result = F.struct(F.col(f"{raw}.value").alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    return parsed.withColumn(name, result).drop(raw)
+
+
+def is_json_value(text: Column) -> Column:
+    """The text is one JSON value with nothing behind it."""
+    as_item = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    as_member = F.get_json_object(F.concat(F.lit('{"p":'), text, F.lit(',"end":1}')), "$.end") == "1"
     return F.coalesce(as_item & as_member, F.lit(False))
 
 

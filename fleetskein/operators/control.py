@@ -16,43 +16,34 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetskein.functions.times import seconds, slot_of
-from fleetskein.functions.values import is_one_json_value
+from fleetskein.functions.values import with_document
 from fleetskein.session import written
 
 DEFAULT_DURATION = 60
 ACTIONS = ("start", "abort")
 
-_ENVELOPE = "action variant, runner variant, params map<string,variant>, _unread string"
-_OPTIONS = {
-    "columnNameOfCorruptRecord": "_unread",
-    "allowSingleQuotes": "false",
-    "allowNonNumericNumbers": "false",
-}
+_ENVELOPE = "struct<action variant, runner variant, params map<string,variant>>"
 _KEY = ["node_id", "runner"]
 _STRETCH = [*_KEY, "calm", "aborts"]
 
 
 def parse(messages: DataFrame) -> DataFrame:
     """Validated envelopes: ``action`` (empty means start), ``runner``, ``duration_sec``, ``error``."""
-    e = F.col("_env")
+    e = F.col("_env.value")
     kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit("VOID"))
     text = lambda c: F.coalesce(F.when(kind(c) == "STRING", F.try_variant_get(c, "$", "string")), F.lit(""))
-    payload = F.trim("payload")
-    readable = is_one_json_value(payload) & (
-        (payload == "null") | (payload.startswith("{") & e["_unread"].isNull())
-    )
-    readable = readable & kind(e["action"]).isin("STRING", "VOID") & kind(e["runner"]).isin("STRING", "VOID")
+    readable = F.col("_env.ok") & kind(e["action"]).isin("STRING", "VOID") & kind(e["runner"]).isin("STRING", "VOID")
     action, runner = text(e["action"]), text(e["runner"])
     # Only a JSON number counts; it is cut to whole seconds.
     duration = e["params"]["duration_sec"]
     number = kind(duration).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
     duration_sec = F.when(number, F.try_variant_get(duration, "$", "double").try_cast("bigint"))
     error = (
-        F.when(~F.coalesce(readable, F.lit(False)), "invalid envelope")
+        F.when(~readable, "invalid envelope")
         .when(runner == "", "missing runner execution name")
         .when(~action.isin("", *ACTIONS), F.concat(F.lit("invalid action: "), action))
     )
-    return messages.withColumn("_env", F.from_json("payload", _ENVELOPE, _OPTIONS)).select(
+    return with_document(messages, "payload", "_env", _ENVELOPE).select(
         "msg_id",
         "node_id",
         runner.alias("runner"),

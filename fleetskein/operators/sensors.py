@@ -12,12 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetskein.functions.values import is_one_json_value, number_or_null, number_or_zero
+from fleetskein.functions.values import is_json_value, number_or_null, number_or_zero, with_document
 from fleetskein.schemas import LIVE_SESSION
 
 _BLANKS = " \t\r\n\x0b\x0c"
 _MIB = 1024.0 * 1024.0
-_JSON = {"columnNameOfCorruptRecord": "_unread", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 # Fixed patterns of the tools' text output.
 _GPU_POWER = r"GPU Power:\s+(\d+)\s+mW"
@@ -61,12 +60,8 @@ def _readings(rows: DataFrame, component: Column | str, metrics: Column, labels:
 
 def _document(rows: DataFrame, ddl: str) -> DataFrame:
     """Add ``doc``, the typed JSON document; rows that do not fit the type are dropped, JSON null is kept."""
-    raw = F.col("raw")
-    wrapped = F.concat(F.lit('{"doc":'), raw, F.lit("}"))
-    read = rows.filter(is_one_json_value(raw)).withColumn(
-        "_json", F.from_json(wrapped, f"doc {ddl}, _unread string", _JSON)
-    )
-    return read.filter(F.col("_json._unread").isNull()).withColumn("doc", F.col("_json.doc")).drop("_json")
+    read = with_document(rows, "raw", "_json", ddl)
+    return read.filter("_json.ok").withColumn("doc", F.col("_json.value")).drop("_json")
 
 
 def nvidia(raw: DataFrame) -> DataFrame:
@@ -115,7 +110,7 @@ def intel(raw: DataFrame) -> DataFrame:
     pieces = F.split(F.regexp_replace(text, r"^\s*\[|\]\s*$", ""), r"(?<=\})\s*,\s*(?=\{)")
     elements = F.coalesce(
         F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"),
-        F.transform(pieces, lambda p: F.when(is_one_json_value(p), F.try_parse_json(p))),
+        F.transform(pieces, lambda p: F.when(is_json_value(p), F.try_parse_json(p))),
     )
     usable = lambda v: F.coalesce(F.schema_of_variant(v).rlike("^(OBJECT|VOID)"), F.lit(False))
     first_bad = F.array_position(F.transform("elements", usable), F.lit(False))

@@ -152,8 +152,13 @@ def lineage_artifacts(fx: Fixtures) -> DataFrame:
 
 
 def lineage_of_suppliers(fx: Fixtures) -> DataFrame:
-    edges = lineage.lineage_edges_of_many(fx.traces(), fx.suppliers(), 3)
-    return edges.select("root_id", "source_id", "verb", "target_id", "event_timestamp")
+    """What every supplier's parts went into: the edges of all roots, summed up per root and verb."""
+    edges = lineage.lineage_edges_of_many(fx.traces(), fx.suppliers(), 2)
+    return edges.groupBy("root_id", "verb").agg(
+        F.count(F.lit(1)).alias("edges"),
+        F.countDistinct("source_id").alias("sources"),
+        F.max("event_timestamp").alias("newest"),
+    )
 
 
 def compacted_artifacts(fx: Fixtures) -> DataFrame:

@@ -414,8 +414,9 @@ def statements() -> dict[str, str]:
             recursive=True),
         "lineage_of_suppliers": _with(
             "traces",
-            _lineage("SELECT 'supplier:' || s_suppkey AS root_id FROM supplier", 3)
-            + " SELECT root_id, source_id, verb, target_id, event_timestamp FROM edges",
+            _lineage("SELECT 'supplier:' || s_suppkey AS root_id FROM supplier", 2) + """
+            SELECT root_id, verb, count(*) AS edges, count(DISTINCT source_id) AS sources, max(event_timestamp) AS newest
+            FROM edges GROUP BY root_id, verb""",
             recursive=True,
         ),
         "compacted_artifacts": _with("base artifact_log", _ARTIFACTS),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetskein.functions.values import canonical_json, is_one_json_value
+from fleetskein.functions.values import canonical_json, is_json_value, with_document
 
 _ARTIFACT = "id variant, kind variant, node_id variant, meta map<string,variant>, created_at variant"
 _TRACE = (
@@ -21,14 +21,8 @@ _ENVELOPE = (
     "event_id variant, node_id variant, node_group variant, session_id variant, pillar variant, "
     "component variant, status variant, event_timestamp variant, "
     "metrics map<string,variant>, params map<string,variant>, "
-    f"artifact struct<{_ARTIFACT}>, trace struct<{_TRACE}>, _unread string"
+    f"artifact struct<{_ARTIFACT}>, trace struct<{_TRACE}>"
 )
-_OPTIONS = {
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": "_unread",
-    "allowSingleQuotes": "false",
-    "allowNonNumericNumbers": "false",
-}
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
 # The time value that stands for "not set".
 _ZERO_TIME = "0001-01-01T00:00:00Z"
@@ -40,8 +34,10 @@ _TRACE_TEXTS = ["source_id", "verb", "target_id", "node_id", "run_id"]
 
 def decode(messages: DataFrame) -> DataFrame:
     """Add ``event`` (typed struct) and ``reason`` (NULL when the payload is well formed)."""
-    e = F.col("_json")
-    read = messages.withColumn("_json", F.from_json("payload", _ENVELOPE, _OPTIONS))
+    read = with_document(messages, "payload", "_json", f"struct<{_ENVELOPE}>")
+    e = F.col("_json.value")
+    payload = F.coalesce(F.btrim("payload", F.lit(" \t\r\n")), F.lit(""))
+    shaped = payload.startswith("{") | (payload == "null")
 
     texts = [e[x] for x in _TEXTS]
     texts += [e["artifact"][x] for x in _ARTIFACT_TEXTS] + [e["trace"][x] for x in _TRACE_TEXTS]
@@ -54,10 +50,8 @@ def decode(messages: DataFrame) -> DataFrame:
     )
     bad_time = _any(_text(x).isNotNull() & _moment(x).isNull() for x in moments)
     reason = (
-        F.when(~is_one_json_value(F.col("payload")), "bad_json")
-        .when(F.trim("payload") == "null", F.lit(None).cast("string"))
-        .when(~F.ltrim("payload").startswith("{"), "not_object")
-        .when(e["_unread"].isNotNull(), "bad_json")
+        F.when(~shaped & is_json_value(payload), "not_object")
+        .when(~F.col("_json.ok"), "bad_json")
         .when(wrong_type, "wrong_type")
         .when(bad_time, "bad_timestamp")
     )
@@ -144,7 +138,8 @@ def _is_text(v: Column) -> Column:
 
 
 def _text(v: Column) -> Column:
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    """The text of a member; members of another type are told apart by ``reason``, not here."""
+    return F.try_variant_get(v, "$", "string")
 
 
 def _moment(v: Column) -> Column:
