@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_DECIMAL_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER_CHARS = r"^[0-9+\-.eE]+$"
 
 
 def json_text(doc: Column, key: str) -> Column:
@@ -54,8 +54,8 @@ def is_json_value(text: Column) -> Column:
 
 
 def number_or_null(text: Column) -> Column:
-    """Decimal number text as double. The pattern keeps out forms only Spark takes, such as ``1.0d``."""
-    return F.when(text.rlike(_DECIMAL_NUMBER), text.try_cast("double"))
+    """Decimal number text as double. The pattern keeps out forms only the cast takes, such as ``1.0d`` or `` 1``."""
+    return F.when(text.rlike(_NUMBER_CHARS), text.try_cast("double"))
 
 
 def number_or_zero(text: Column) -> Column:

@@ -62,7 +62,7 @@ def replay(
     ``started``, ``duplicate_ignored``, ``aborted``, ``abort_ignored``,
     ``unknown_runner`` or ``invalid``.
     """
-    parsed = parse(messages)
+    parsed = written(parse(messages), "control-parsed")
     known = F.col("runner").isin(*known_runners)
     abort = F.col("action") == "abort"
     bad = F.col("error").isNotNull()
@@ -80,7 +80,7 @@ def replay_known(valid: DataFrame, slot_seconds: int = 3600, fold_limit: int = 2
     """Replay valid messages of known runners."""
     end = F.col("received_at") + seconds(F.col("duration_sec"))
     rows = valid.withColumn("ends_at", F.when(F.col("action") == "start", end))
-    cut = written(_stretches(rows, slot_seconds), "control")
+    cut = written(_stretches(rows, slot_seconds), "control-stretches")
     long_ones = written(
         cut.groupBy(*_STRETCH).count().filter(F.col("count") > fold_limit).select(*_STRETCH), "control-long"
     )

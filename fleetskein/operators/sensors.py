@@ -42,9 +42,9 @@ def _captured(pattern: str, text: Column | None = None) -> Column:
 
 
 def _metrics(**values: Column) -> Column:
-    """Metric map; NULL values are left out."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in values.items()])
-    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+    """Metric map; a NULL value stands for a metric that is not there and is left out by the output forms."""
+    pairs = [x for name, value in values.items() for x in (F.lit(name), value.cast("double"))]
+    return F.create_map(*pairs)
 
 
 def _readings(rows: DataFrame, component: Column | str, metrics: Column, labels: Column | None = None) -> DataFrame:
@@ -66,10 +66,10 @@ def _document(rows: DataFrame, ddl: str) -> DataFrame:
 
 def nvidia(raw: DataFrame) -> DataFrame:
     """CSV lines ``index, temperature, utilisation, memory, power``; power may be missing."""
-    lines = _of(raw, "nvidia").select(
-        "node_id", "captured_at", F.explode(F.split(_strip(F.col("raw")), "\n")).alias("line")
-    )
-    cards = lines.withColumn("f", F.split("line", ",")).filter(F.size("f") >= 4)
+    lines = F.split(_strip(F.col("raw")), "\n")
+    cards = _of(raw, "nvidia").select(
+        "node_id", "captured_at", F.explode(F.transform(lines, lambda line: F.split(line, ","))).alias("f")
+    ).filter(F.size("f") >= 4)
 
     def number(i: int) -> Column:
         return number_or_zero(_strip(F.get("f", F.lit(i))))
@@ -137,8 +137,8 @@ def intel(raw: DataFrame) -> DataFrame:
 def darwin_gpu(raw: DataFrame) -> DataFrame:
     power = number_or_null(_captured(_GPU_POWER)) / 1000.0
     busy = number_or_null(_captured(_GPU_RESIDENCY))
-    rows = _readings(_of(raw, "darwin_gpu"), "gpu-darwin", _metrics(gpu_power_w=power, gpu_utilization_pct=busy))
-    return rows.filter(F.size("metrics") > 0)
+    rows = _of(raw, "darwin_gpu").filter(power.isNotNull() | busy.isNotNull())
+    return _readings(rows, "gpu-darwin", _metrics(gpu_power_w=power, gpu_utilization_pct=busy))
 
 
 def darwin_ane(raw: DataFrame) -> DataFrame:
@@ -272,8 +272,13 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 
 def as_metrics(readings: DataFrame) -> DataFrame:
-    """Long form: one row per metric."""
-    return readings.select("node_id", "component", "event_timestamp", F.explode("metrics").alias("metric", "value"))
+    """Long form: one row per metric.
+
+    The outer form of the generator keeps Catalyst from adding a "map is not
+    empty" filter, which would build every map twice.
+    """
+    metric = F.explode_outer("metrics").alias("metric", "value")
+    return readings.select("node_id", "component", "event_timestamp", metric).filter(F.col("value").isNotNull())
 
 
 def as_ledger(readings: DataFrame) -> DataFrame:
@@ -281,7 +286,8 @@ def as_ledger(readings: DataFrame) -> DataFrame:
     labels = F.transform_values(
         F.coalesce("labels", F.create_map().cast("map<string,string>")), lambda _k, v: v.cast("variant")
     )
-    numbers = F.transform_values("metrics", lambda _k, v: v.cast("variant"))
+    there = F.map_filter("metrics", lambda _k, v: v.isNotNull())
+    numbers = F.transform_values(there, lambda _k, v: v.cast("variant"))
     return readings.select(
         "node_id",
         F.lit(LIVE_SESSION).alias("session_id"),

@@ -115,8 +115,8 @@ UNION ALL
 SELECT 'part:' || cast(l_partkey as string), 'stacked_into', 'order:' || cast(l_orderkey as string),
   cast(NULL as string), cast(NULL as string), '{{}}', l_shipdate FROM {lineitem}
 UNION ALL
-SELECT DISTINCT 'supplier:' || cast(l_suppkey as string), 'supplied', 'part:' || cast(l_partkey as string),
-  cast(NULL as string), cast(NULL as string), '{{}}', {epoch} FROM {lineitem}
+SELECT 'supplier:' || cast(l_suppkey as string), 'supplied', 'part:' || cast(l_partkey as string),
+  cast(NULL as string), cast(NULL as string), '{{}}', {epoch} FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem})
 """
 SPARK_EPOCH = "timestamp_ntz '1992-01-01 00:00:00'"
 DUCKDB_EPOCH = "timestamp '1992-01-01 00:00:00'"
