@@ -24,6 +24,7 @@ ACTIONS = ("start", "abort")
 
 _ENVELOPE = "struct<action variant, runner variant, params map<string,variant>>"
 _KEY = ["node_id", "runner"]
+OUTCOME_COLUMNS = ["msg_id", *_KEY, "received_at", "action", "outcome", "error"]
 _STRETCH = [*_KEY, "calm", "aborts"]
 
 
@@ -62,25 +63,55 @@ def replay(
     ``started``, ``duplicate_ignored``, ``aborted``, ``abort_ignored``,
     ``unknown_runner`` or ``invalid``.
     """
+    return replay_from(messages, known_runners, None, slot_seconds, fold_limit).select(*OUTCOME_COLUMNS)
+
+
+def replay_from(
+    messages: DataFrame,
+    known_runners: Iterable[str],
+    open_before: DataFrame | None,
+    slot_seconds: int = 3600,
+    fold_limit: int = 2_000,
+) -> DataFrame:
+    """Replay after runs that were open before (``node_id, runner, ends_at``).
+
+    These take part as starts before all messages; they are marked ``carried`` in the result.
+    """
     parsed = written(parse(messages), "control-parsed")
     known = F.col("runner").isin(*known_runners)
     abort = F.col("action") == "abort"
     bad = F.col("error").isNotNull()
-    settled = parsed.withColumn(
-        "outcome",
-        F.when(bad, "invalid").when(~known & abort, "abort_ignored").when(~known, "unknown_runner"),
-    )
+    end = F.col("received_at") + seconds(F.col("duration_sec"))
+    settled = parsed.withColumns({
+        "outcome": F.when(bad, "invalid").when(~known & abort, "abort_ignored").when(~known, "unknown_runner"),
+        "ends_at": F.when(F.col("action") == "start", end),
+        "carried": F.lit(False),
+    })
     simple = settled.filter(F.col("outcome").isNotNull())
-    active = replay_known(settled.filter(F.col("outcome").isNull()), slot_seconds, fold_limit)
-    columns = ["msg_id", *_KEY, "received_at", "action", "outcome", "error"]
-    return simple.select(*columns).unionByName(active.select(*columns))
+    active = settled.filter(F.col("outcome").isNull())
+    if open_before is not None:
+        first = F.lit("1970-01-01 00:00:00").cast(parsed.schema["received_at"].dataType)
+        active = active.unionByName(open_before.select(
+            *_KEY, "ends_at", F.lit(-1).cast("bigint").alias("msg_id"), first.alias("received_at"),
+            F.lit("start").alias("action"), F.lit(True).alias("carried"),
+        ), allowMissingColumns=True)
+    columns = [*OUTCOME_COLUMNS, "ends_at", "carried"]
+    return simple.select(*columns).unionByName(replay_known(active, slot_seconds, fold_limit).select(*columns))
+
+
+def open_runs(outcomes: DataFrame) -> DataFrame:
+    """Runs still held open after a replay: per node and runner the last start, unless an abort followed."""
+    last = (
+        outcomes.filter(F.col("outcome").isin("started", "aborted"))
+        .groupBy(*_KEY)
+        .agg(F.max_by(F.struct("outcome", "ends_at"), F.struct("received_at", "msg_id")).alias("last"))
+    )
+    return last.filter(F.col("last.outcome") == "started").select(*_KEY, "last.ends_at")
 
 
 def replay_known(valid: DataFrame, slot_seconds: int = 3600, fold_limit: int = 2_000) -> DataFrame:
-    """Replay valid messages of known runners."""
-    end = F.col("received_at") + seconds(F.col("duration_sec"))
-    rows = valid.withColumn("ends_at", F.when(F.col("action") == "start", end))
-    cut = written(_stretches(rows, slot_seconds), "control-stretches")
+    """Replay valid messages of known runners (starts with their ``ends_at``)."""
+    cut = written(_stretches(valid, slot_seconds), "control-stretches")
     long_ones = written(
         cut.groupBy(*_STRETCH).count().filter(F.col("count") > fold_limit).select(*_STRETCH), "control-long"
     )
@@ -128,71 +159,65 @@ def _stretches(rows: DataFrame, slot_seconds: int) -> DataFrame:
 
 def _folded(rows: DataFrame) -> DataFrame:
     """Replay short stretches: one array per stretch, folded by a built-in aggregate."""
-    fields = ["received_at", "msg_id", "action", "error", "ends_at"]
+    fields = ["received_at", "msg_id", "action", "error", "ends_at", "carried"]
     time_type = rows.schema["received_at"].dataType.simpleString()
-    done_type = f"array<struct<received_at:{time_type},msg_id:bigint,action:string,error:string,outcome:string>>"
-    lists = rows.groupBy(*_STRETCH).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("log"))
-    start = F.struct(
-        F.lit(None).cast(time_type).alias("until"), F.array().cast(done_type).alias("done")
+    done_type = (
+        f"array<struct<received_at:{time_type},msg_id:bigint,action:string,error:string,"
+        f"ends_at:{time_type},carried:boolean,outcome:string>>"
     )
+    lists = rows.groupBy(*_STRETCH).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("log"))
+    start = F.struct(F.lit(None).cast(time_type).alias("until"), F.array().cast(done_type).alias("done"))
 
     def step(state: Column, m: Column) -> Column:
         active = F.coalesce(m["received_at"] < state["until"], F.lit(False))
+        is_abort = m["action"] == "abort"
         outcome = (
-            F.when(m["action"] == "abort", F.when(active, "aborted").otherwise("abort_ignored"))
+            F.when(is_abort, F.when(active, "aborted").otherwise("abort_ignored"))
             .when(active, "duplicate_ignored")
             .otherwise("started")
         )
-        until = F.when(m["action"] == "abort", F.lit(None)).when(active, state["until"]).otherwise(m["ends_at"])
-        row = F.struct(m["received_at"], m["msg_id"], m["action"], m["error"], outcome.alias("outcome"))
+        until = F.when(is_abort, F.lit(None)).when(active, state["until"]).otherwise(m["ends_at"])
+        row = F.struct(*[m[x] for x in fields], outcome.alias("outcome"))
         return F.struct(until.cast(time_type).alias("until"), F.concat(state["done"], F.array(row)).alias("done"))
 
     done = F.aggregate("log", start, step, lambda state: state["done"])
-    return lists.select(*_KEY, F.inline(done)).select(
-        "msg_id", *_KEY, "received_at", "action", "error", "outcome"
-    )
+    return lists.select(*_KEY, F.inline(done)).select(*OUTCOME_COLUMNS, "ends_at", "carried")
 
 
 def _linked(rows: DataFrame, slot_seconds: int) -> DataFrame:
     """Replay long stretches: mark the starts on the chain of accepted ones, beginning with the first."""
+    this = [*_KEY, "msg_id"]
     starts = rows.filter(F.col("action") == "start")
     links = written(_next_possible(starts, slot_seconds), "control-links")
     reached = written(
         starts.groupBy(*_STRETCH)
         .agg(F.min_by("msg_id", F.struct("received_at", "msg_id")).alias("msg_id"))
-        .select("msg_id"),
+        .select(*this),
         "control-reached",
     )
     while not links.isEmpty():
-        further = reached.join(links, "msg_id").select(F.col("next_id").alias("msg_id"))
+        further = reached.join(links, this).select(*_KEY, F.col("next_id").alias("msg_id"))
         reached = written(reached.union(further).distinct(), "control-reached")
-        hop = links.select(F.col("msg_id").alias("next_id"), F.col("next_id").alias("far_id"))
-        links = written(
-            links.join(hop, "next_id").select("msg_id", F.col("far_id").alias("next_id")), "control-links"
-        )
+        hop = links.select(*_KEY, F.col("msg_id").alias("next_id"), F.col("next_id").alias("far_id"))
+        doubled = links.join(hop, [*_KEY, "next_id"]).select(*this, F.col("far_id").alias("next_id"))
+        links = written(doubled, "control-links")
 
-    accepted = starts.join(reached, "msg_id", "left_semi")
     # A stretch ends with its abort, if it has one: the run of the last accepted start is what it meets.
-    last_until = accepted.groupBy(*_STRETCH).agg(
+    last_until = starts.join(reached, this, "left_semi").groupBy(*_STRETCH).agg(
         F.max_by("ends_at", F.struct("received_at", "msg_id")).alias("until")
     )
-    aborts = (
-        rows.filter(F.col("action") == "abort")
-        .join(last_until, _STRETCH, "left")
-        .withColumn(
-            "outcome",
-            F.when(F.col("received_at") < F.col("until"), "aborted").otherwise("abort_ignored"),
-        )
+    aborts = rows.filter(F.col("action") == "abort").join(last_until, _STRETCH, "left").withColumn(
+        "outcome", F.when(F.col("received_at") < F.col("until"), "aborted").otherwise("abort_ignored")
     )
-    marked = starts.join(reached.withColumn("hit", F.lit(True)), "msg_id", "left").withColumn(
+    marked = starts.join(reached.withColumn("hit", F.lit(True)), this, "left").withColumn(
         "outcome", F.when(F.col("hit"), "started").otherwise("duplicate_ignored")
     )
-    columns = ["msg_id", *_KEY, "received_at", "action", "error", "outcome"]
+    columns = [*OUTCOME_COLUMNS, "ends_at", "carried"]
     return marked.select(*columns).unionByName(aborts.select(*columns))
 
 
 def _next_possible(starts: DataFrame, slot_seconds: int) -> DataFrame:
-    """``msg_id -> next_id``: the first later start of the stretch at or after the end of this one's run.
+    """``(node, runner, msg_id) -> next_id``: the first later start of the stretch at or after the end of this one's run.
 
     Every start is entered twice, at its own time and, as a question, at its end.
     Within a slot a window answers; what stays open takes the first start of the
@@ -223,6 +248,6 @@ def _next_possible(starts: DataFrame, slot_seconds: int) -> DataFrame:
     later_first = firsts.withColumn("later_id", F.first("first_id", ignorenulls=True).over(later)).drop("first_id")
     return (
         asked.join(later_first, key)
-        .select("msg_id", F.coalesce("next_id", "later_id").alias("next_id"))
+        .select(*_KEY, "msg_id", F.coalesce("next_id", "later_id").alias("next_id"))
         .filter(F.col("next_id").isNotNull())
     )

@@ -282,13 +282,13 @@ def as_metrics(readings: DataFrame) -> DataFrame:
 
 
 def as_ledger(readings: DataFrame) -> DataFrame:
-    """Ledger form, the metrics and labels as one JSON object; the row id is the writer's to give."""
+    """Ledger form, the metrics and labels as one JSON object. The row id is a hash of the reading, equal on every run."""
     labels = F.transform_values(
         F.coalesce("labels", F.create_map().cast("map<string,string>")), lambda _k, v: v.cast("variant")
     )
     there = F.map_filter("metrics", lambda _k, v: v.isNotNull())
     numbers = F.transform_values(there, lambda _k, v: v.cast("variant"))
-    return readings.select(
+    rows = readings.select(
         "node_id",
         F.lit(LIVE_SESSION).alias("session_id"),
         F.lit("observer").alias("pillar"),
@@ -298,3 +298,4 @@ def as_ledger(readings: DataFrame) -> DataFrame:
         F.to_json(F.map_concat(labels, numbers)).alias("metrics"),
         F.lit("{}").alias("params"),
     )
+    return rows.withColumn("event_id", F.xxhash64("node_id", "component", "event_timestamp", "metrics"))
