@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetskein.functions import times
 from fleetskein.operators.filters import in_pillar, node_like, since as not_before
 
 DEFAULT_LIMIT = 100_000
@@ -40,7 +41,8 @@ def unload(
     last_hour = running.agg(
         F.coalesce(F.min(F.when(F.col("upto") >= n, F.col("hour"))), F.max("hour")).alias("hour")
     ).scalar()
-    early = rows.filter(hour <= last_hour)
+    time_type = rows.schema["event_timestamp"].dataType
+    early = rows.filter(F.col("event_timestamp") < (last_hour + times.seconds(3600)).cast(time_type))
     if "event_date" in rows.columns:
         early = early.filter(F.col("event_date") <= F.to_date(last_hour))
     return _typed(early.orderBy("event_timestamp", "event_id").limit(n))
