@@ -29,27 +29,24 @@ def lineage_edges_of_many(traces: DataFrame, roots: DataFrame, max_depth: int =
     shuffle, and the edges themselves are fetched once at the end.
     """
     depth = max_depth if max_depth > 0 else DEFAULT_DEPTH
-    ends = _by_vertex(traces.select("source_id", "target_id"))
+    ends = traces.select("source_id", "target_id")
     both_ways = F.explode(F.array(F.lit("out"), F.lit("in")))
     seen = frontier = written(
         roots.select("root_id", F.col("root_id").alias("vertex")).distinct().withColumn("heading", both_ways),
         "lineage-0",
     )
     for level in range(1, depth):
-        reached = frontier.join(ends, ["vertex", "heading"]).select(
-            "root_id",
-            F.explode(F.array(
-                F.struct(F.col("target_id").alias("vertex"), F.lit("out").alias("heading")),
-                F.struct(F.col("source_id").alias("vertex"), F.lit("in").alias("heading")),
-            )).alias("state"),
-        )
-        fresh = reached.select("root_id", "state.*").distinct().join(seen, _STATE, "left_anti")
+        reached = F.explode(F.array(
+            F.struct(F.col("target_id").alias("vertex"), F.lit("out").alias("heading")),
+            F.struct(F.col("source_id").alias("vertex"), F.lit("in").alias("heading")),
+        ))
+        states = _touching(ends, frontier).select("root_id", reached.alias("state")).select("root_id", "state.*")
+        fresh = states.distinct().join(seen, _STATE, "left_anti")
         frontier = written(fresh, f"lineage-{level}")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    edges = _by_vertex(_comparable(traces)).join(seen, ["vertex", "heading"])
-    return edges.select("root_id", *EDGE_COLUMNS).distinct()
+    return _touching(_comparable(traces), seen).select("root_id", *EDGE_COLUMNS).distinct()
 
 
 def lineage_edges(traces: DataFrame, root_id: str, max_depth: int = 0) -> DataFrame:
@@ -75,10 +72,8 @@ def _comparable(traces: DataFrame) -> DataFrame:
     return traces.withColumn("run_id", F.coalesce("run_id", F.lit(""))).select(*EDGE_COLUMNS)
 
 
-def _by_vertex(edges: DataFrame) -> DataFrame:
-    """Every edge under both its ends: one equi join then serves both directions."""
-    end = F.explode(F.array(
-        F.struct(F.col("source_id").alias("vertex"), F.lit("out").alias("heading")),
-        F.struct(F.col("target_id").alias("vertex"), F.lit("in").alias("heading")),
-    ))
-    return edges.withColumn("end", end).select("end.*", *edges.columns)
+def _touching(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """Edges that the states expand. Two equi joins: a join on "source or target" would try all pairs."""
+    out = states.filter("heading = 'out'").select("root_id", F.col("vertex").alias("source_id"))
+    into = states.filter("heading = 'in'").select("root_id", F.col("vertex").alias("target_id"))
+    return edges.join(out, "source_id").unionByName(edges.join(into, "target_id"))
