@@ -44,11 +44,10 @@ def decode(messages: DataFrame) -> DataFrame:
     moments = [e["event_timestamp"], e["artifact"]["created_at"], e["trace"]["timestamp"]]
     text_maps = [e["params"], e["artifact"]["meta"], e["trace"]["meta"]]
 
-    wrong_type = _any(~_is_text(x) for x in texts + moments) | _any(
-        F.exists(F.coalesce(F.map_values(m), F.array().cast("array<variant>")), lambda v: ~_is_text(v))
-        for m in text_maps
-    )
-    bad_time = _any(_text(x).isNotNull() & _moment(x).isNull() for x in moments)
+    no_values = F.array().cast("array<variant>")
+    all_values = F.concat(F.array(*texts, *moments), *[F.coalesce(F.map_values(m), no_values) for m in text_maps])
+    wrong_type = F.exists(all_values, lambda v: ~_is_text(v))
+    bad_time = F.exists(F.array(*moments), lambda v: _text(v).isNotNull() & _moment(v).isNull())
     reason = (
         F.when(~shaped & is_json_value(payload), "not_object")
         .when(~F.col("_json.ok"), "bad_json")
@@ -163,10 +162,3 @@ def _last_of_each_key(m: Column) -> Column:
     later = lambda i: F.slice(keys, i + 2, F.size(keys))
     last = F.filter(entries, lambda entry, i: ~F.array_contains(later(i), entry["key"]))
     return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(last)).otherwise(m)
-
-
-def _any(conditions) -> Column:
-    result = F.lit(False)
-    for condition in conditions:
-        result = result | condition
-    return result
