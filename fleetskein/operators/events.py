@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetskein.functions import times, topics
-from fleetskein.functions.values import merge_maps, non_empty
+from fleetskein.functions.values import non_empty
 
 DEFAULT_PREFIX = "fleet/ctd"
 
@@ -123,8 +123,3 @@ def encode(events: DataFrame, prefix: str = DEFAULT_PREFIX) -> DataFrame:
         )).alias("trace"))
     topic = topics.event_topic(prefix, F.col("pillar"), F.col("node_id"), F.col("component"))
     return events.withColumns({"topic": topic, "payload": F.to_json(F.struct(*members))})
-
-
-def merge_meta(old: Column, new: Column) -> Column:
-    """Metadata of an artifact after one more upsert."""
-    return merge_maps(old, new)

@@ -45,8 +45,10 @@ def decode(messages: DataFrame) -> DataFrame:
     text_maps = [e["params"], e["artifact"]["meta"], e["trace"]["meta"]]
 
     no_values = F.array().cast("array<variant>")
-    all_values = F.concat(F.array(*texts, *moments), *[F.coalesce(F.map_values(m), no_values) for m in text_maps])
-    wrong_type = F.exists(all_values, lambda v: ~_is_text(v))
+    in_maps = F.concat(*[F.coalesce(F.map_values(m), no_values) for m in text_maps])
+    wrong_type = F.exists(in_maps, lambda v: ~_is_text(v))
+    for member in texts + moments:
+        wrong_type = wrong_type | ~_is_text(member)
     bad_time = F.exists(F.array(*moments), lambda v: _text(v).isNotNull() & _moment(v).isNull())
     reason = (
         F.when(~shaped & is_json_value(payload), "not_object")
