@@ -111,12 +111,12 @@ WITH turns AS (
            ORDER BY turn NULLS FIRST, speaker, said, tie ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM rendered
 ), parts AS (
-  SELECT *, upto - length(segment) AS at, (upto - length(segment)) // %d AS part FROM placed
+  SELECT *, upto - length(segment) AS char_at, (upto - length(segment)) // %d AS part FROM placed
 ), begun AS (
-  SELECT *, min(at) OVER (PARTITION BY conv_id, perspective, part) AS char_start FROM parts
+  SELECT *, min(char_at) OVER (PARTITION BY conv_id, perspective, part) AS char_start FROM parts
 )
 SELECT conv_id, perspective, part, count(*) AS n_turns, char_start,
-       string_agg(segment, '' ORDER BY at) AS text,
-       coalesce(string_agg(CASE WHEN own THEN (upto - 1 - length(said) - char_start) || ':' || (upto - char_start) END, ',' ORDER BY at), '') AS masks
+       string_agg(segment, '' ORDER BY char_at) AS text,
+       coalesce(string_agg(CASE WHEN own THEN (upto - 1 - length(said) - char_start) || ':' || (upto - char_start) END, ',' ORDER BY char_at), '') AS masks
 FROM begun GROUP BY conv_id, perspective, part, char_start
 """ % PART_CHARS
