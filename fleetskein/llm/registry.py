@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetskein.llm import bpe_duckdb, langid, perspectives, quality_lines, retrieval_packing
+from fleetskein.llm import bpe_duckdb, langid, minhash_oph, perspectives, quality_lines, retrieval_packing, sentence_spans
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -39,6 +40,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval_packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
 
 
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_oph.near_duplicates(table(spark, folder, "documents"), shingle=4)
+
+
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    cut = sentence_spans.remove_repeats(table(spark, folder, "documents"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return cut.select("doc_id", "n_sentences", "n_removed", F.array_join(spans, ",").alias("removed"), "text")
+
+
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     kept = quality_lines.clean_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4,
     "op5_langid": op5,
     "op6_packing": op6,
+    "op7_minhash": op7,
+    "op8_sentence_spans": op8,
     "op10_quality_lines": op10,
 }
 STATEMENTS: dict[str, str] = {
