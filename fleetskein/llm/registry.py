@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetskein.llm import bpe_duckdb, langid, minhash_oph, perspectives, quality_lines, retrieval_packing, sentence_spans
+from fleetskein.llm import bpe_duckdb, katz, langid, minhash_oph, perspectives, quality_lines, retrieval_packing, secrets_crf, sentence_spans
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -28,6 +28,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return perspectives.dialogues(table(spark, folder, "conversations"))
 
 
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score_texts(table(spark, folder, "documents"))
+
+
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets_crf.digest(table(spark, folder, "documents"))
+
+
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_duckdb.digests(vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN, table(spark, folder, "documents"))
 
@@ -57,6 +65,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perspectives": op1,
+    "op2_katz": op2,
+    "op3_secrets": op3,
     "op4_bpe": op4,
     "op5_langid": op5,
     "op6_packing": op6,
