@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetskein.llm import bpe_duckdb, katz, langid, minhash_oph, perspectives, quality_lines, retrieval_packing, secrets_crf, sentence_spans
+from fleetskein.llm import bpe_duckdb, katz, langid, minhash_oph, perspectives, quality_lines, retrieval_packing, secrets_crf, sentence_spans, topk_svd
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -58,6 +58,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_sentences", "n_removed", F.array_join(spans, ",").alias("removed"), "text")
 
 
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_svd.top_k(table(spark, folder, "embeddings"))
+
+
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     kept = quality_lines.clean_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -72,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6,
     "op7_minhash": op7,
     "op8_sentence_spans": op8,
+    "op9_topk": op9,
     "op10_quality_lines": op10,
 }
 STATEMENTS: dict[str, str] = {
     "op1_perspectives": perspectives.SQL,
+    "op9_topk": topk_svd.SQL,
 }
