@@ -42,7 +42,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mask; all documents stay."""
-    return _with_text(secrets_crf.redacted(secrets_crf.scan(docs, secrets_crf.learn(docs))), docs)
+    return _with_text(secrets_crf.redacted(secrets_crf.scan(docs, secrets_crf.learn(docs), "_secrets"), "_secrets"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

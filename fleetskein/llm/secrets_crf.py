@@ -259,7 +259,7 @@ def field_spans(field: Field | None, t: Tokens, body: np.ndarray, base: list[tup
     return out
 
 
-def _scan(field: Field | None):
+def _scan(field: Field | None, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for block in blocks(batches):
@@ -270,7 +270,7 @@ def _scan(field: Field | None):
                 row = int(np.searchsorted(offsets, a, "right")) - 1
                 points = lambda x, o=int(offsets[row]): int(np.count_nonzero((body[o:x] & 0xC0) != 0x80))
                 spans[row].append({"kind": KINDS[k], "start": points(a), "end": points(b)})
-            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in block.schema.names], pa.array(spans, kind)], names=[*block.schema.names, "secrets"])
+            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in block.schema.names], pa.array(spans, kind)], names=[*block.schema.names, into])
 
     return run
 
@@ -287,21 +287,21 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     return fit(windows)
 
 
-def scan(docs: DataFrame, field: Field | None) -> DataFrame:
-    """``docs`` plus ``secrets``: array of (kind, start, end) in code points, by start, then kind as in KINDS.
+def scan(docs: DataFrame, field: Field | None, into: str = "secrets") -> DataFrame:
+    """``docs`` plus ``into``: array of (kind, start, end) in code points, by start, then kind as in KINDS.
 
-    Null and empty texts have none. Every row gives one row, and all columns stay; a column named
-    ``secrets`` is replaced.
+    Null and empty texts have none. Every row gives one row, and all columns stay; a column that has
+    the result's name is replaced.
     """
-    given = docs.drop("secrets")
+    given = docs.drop(into)
     schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in given.schema)
-    return given.mapInArrow(_scan(field), f"{schema}, secrets array<struct<kind:string,start:long,end:long>>")
+    return given.mapInArrow(_scan(field, into), f"{schema}, `{into}` array<struct<kind:string,start:long,end:long>>")
 
 
-def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``text`` with all spans of ``secrets`` replaced; overlapping spans are replaced as one."""
+def redacted(docs: DataFrame, spans: str = "secrets", mask: str = "[secret]") -> DataFrame:
+    """``text`` with all spans of the column replaced, and without it; overlapping spans are replaced as one."""
     joined = F.aggregate(
-        "secrets",
+        spans,
         F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
             F.struct(
@@ -311,7 +311,7 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         ),
     )
     rest = F.concat(joined["done"], F.substr("text", (joined["at"] + 1).cast("int")))
-    return docs.withColumn("text", F.when(F.size("secrets") > 0, rest).otherwise(F.col("text"))).drop("secrets")
+    return docs.withColumn("text", F.when(F.size(spans) > 0, rest).otherwise(F.col("text"))).drop(spans)
 
 
 def digest(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
