@@ -30,8 +30,8 @@ END, START = 0x1D8E4E27C47D124F, 0x7A1CE9B3D5F0A681
 TURING = 5
 ADD = 0.1
 #: Distinct entries that one partition of the model holds, about.
-PART_ENTRIES = 1_500_000
-BLOCK = 4 << 20
+PART_ENTRIES = 1_000_000
+BLOCK = 3 << 20
 
 
 def packed(ascending: np.ndarray) -> bytes:
