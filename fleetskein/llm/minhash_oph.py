@@ -4,7 +4,7 @@ Texts with equal shingle sets count as one node. A node's shingles fall into bin
 smallest hash, empty bins borrow from a bin chosen by hash; rows of bins make bands. In each bucket
 one node is the centre of a star of candidate pairs, which are confirmed on full
 sets. Buckets that still hold several components get more stars, with centres from outside the largest
-component and without the pairs that the triangle inequality rules out, until no pair across
+component and without the pairs that a bound on the common part rules out, until no pair across
 components is left to look at.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetskein.llm.graph import components
@@ -22,6 +22,8 @@ from fleetskein.llm.words import blocks, mixed, row_ids, runs, signed, words
 from fleetskein.session import written
 
 BINS, ROWS = 128, 4
+#: 64-bit words of the bitmap that bounds what two sets have in common.
+BITMAP = 16
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -88,6 +90,14 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h
 
 
+def bitmaps(row: np.ndarray, h: np.ndarray, rows: int, size: int = BITMAP) -> np.ndarray:
+    """rows x size words; a set's shingles set the bits that their hashes name."""
+    bit = np.unique(row.astype(np.uint64) * np.uint64(64 * size) + ((h >> np.uint64(16)) % np.uint64(64 * size)))
+    out = np.zeros(rows * size, np.uint64)
+    np.add.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(rows, size)
+
+
 def _features(size: int, bins: int, rows_in_band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -115,8 +125,12 @@ def _sets(size: int):
             count, s1, s2 = set_keys(row, h, n)
             offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(count), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(h)))], names=["n_shingles", "s1", "s2", "shingles"]
-            )
+                [
+                    pa.array(count), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(h))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BITMAP), pa.array(signed(bitmaps(row, h, n).reshape(-1)))),
+                ],
+                names=["n_shingles", "s1", "s2", "shingles", "bits"],
+            )
 
     return run
 
@@ -160,18 +174,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
 
     needed = written(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "least", *key), "needed")
     texts = given.join(needed.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(given.where("doc_id IS NULL"))
-    found = texts.mapInArrow(_sets(shingle), "n_shingles long, s1 long, s2 long, shingles array<long>")
-    sets = written(needed.join(found, key).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    found = texts.mapInArrow(_sets(shingle), "n_shingles long, s1 long, s2 long, shingles array<long>, bits array<long>")
+    sets = written(needed.join(found, key).dropDuplicates(["node"]).select("node", "shingles", "bits"), "sets")
 
     starred = written(entries.join(centres, "bucket").select("bucket", "node", "n", "centre"), "starred")
     stars = starred.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     stars = written(compared(stars, sets), "stars")
     near = F.col("common") * 100 >= F.col("union") * percent
     linked = written(components(stars.where(near)), "linked")
-    away = stars.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("common") / F.col("union")).alias("away"))
-    buckets = written(starred.join(away, ["centre", "node"], "left").fillna(0.0, ["away"]).drop("centre"), "buckets")
-
-    low, most_away = 0, 1 - percent / 100 + 1e-9
+    buckets = starred.select("bucket", "node", "n")
+    low = 0
     while True:
         # Buckets whose nodes lie in more than one component.
         part = buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -179,19 +191,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
         several = per.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("total"), F.max("size").alias("most"))
         # New centres come from outside the main component, in the order of a hash, in rounds of growing share.
         share = F.when(F.col("component") != F.col("main"), (F.xxhash64("node") / F.lit(2.0**64) + 0.5) * (F.col("total") - F.col("most")))
-        left = written(part.join(several.where("total > most"), "bucket").withColumn("share", share).select("bucket", "node", "n", "away", "component", "share"), "left")
+        left = part.join(several.where("total > most"), "bucket").withColumn("share", share)
+        # ``free``: shingles beyond the set's bits; two sets have no more in common than the smaller of it and their common bits.
+        words_ = [F.col("bits")[k].alias(f"w{k}") for k in range(BITMAP)]
+        free = F.col("n") - sum((F.bit_count(F.col("bits")[k]) for k in range(BITMAP)), F.lit(0))
+        left = written(left.join(sets.select("node", "bits"), "node").select("bucket", "node", "n", free.alias("free"), "component", "share", *words_), "left")
         centre = left.where(F.col("share") >= low)
         if centre.isEmpty():
             break
         high = max(8, 8 * low)
-        centre = centre.where(F.col("share") < high).select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "away", "component", "share")])
-        # Distances to the bucket's first centre differ by no more than the distance of a link.
+        centre = centre.where(F.col("share") < high).select("bucket", *[F.col(c).alias(f"c_{c}") for c in left.columns[1:]])
+        common = sum((F.bit_count(F.col(f"w{k}").bitwiseAND(F.col(f"c_w{k}"))) for k in range(BITMAP)), F.least("free", "c_free"))
         may = (
             (F.col("component") != F.col("c_component"))
             & (F.col("share").isNull() | (F.col("share") > F.col("c_share")))
-            & (F.abs(F.col("away") - F.col("c_away")) <= most_away)
-            & (F.col("n") * 100 >= F.col("c_n") * percent)
-            & (F.col("c_n") * 100 >= F.col("n") * percent)
+            & (common * (100 + percent) >= (F.col("n") + F.col("c_n")) * percent)
         )
         pairs = left.join(centre, "bucket").where(may).select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
         new = written(compared(pairs, sets).where(near).select("a", "b"), "links")
