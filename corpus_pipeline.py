@@ -13,16 +13,22 @@ from fleetskein.llm import minhash_oph, quality_lines, registry, retrieval_packi
 from fleetskein.session import written
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as one, so that no result's name can clash with theirs."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("_rest"))
+
+
 def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``; n_chars follows the text where there is such a column."""
-    if "n_chars" in like.columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
-    return docs.select(*like.columns)
+    """Back to the columns of ``like``; n_chars follows the text where there is such a column."""
+    size = F.length("text").cast(like.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in like.columns else None
+    own = lambda c: F.col(c) if c in ("doc_id", "text") else size if c == "n_chars" else F.col("_rest")[c].alias(c)
+    return docs.select(*map(own, like.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that fail the rules or lose too much text. Null and empty texts fail."""
-    found = quality_lines.clean_lines(docs)
+    found = quality_lines.clean_lines(_apart(docs))
     return _with_text(found.where("kept").withColumn("text", F.col("cleaned")), docs)
 
 
@@ -36,13 +42,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of sentences go; a document that had nothing else goes with them."""
-    cut = sentence_spans.remove_repeats(docs)
+    cut = sentence_spans.remove_repeats(_apart(docs))
     return _with_text(cut.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mask; all documents stay."""
-    return _with_text(secrets_crf.redacted(secrets_crf.scan(docs, secrets_crf.learn(docs), "_secrets"), "_secrets"), docs)
+    return _with_text(secrets_crf.redacted(secrets_crf.scan(_apart(docs), secrets_crf.learn(docs))), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

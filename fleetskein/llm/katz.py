@@ -46,7 +46,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, kind: str) -> np.ndarray:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetskein.llm.words import blocks, raw, words
 
@@ -117,8 +118,9 @@ def labels(t: Tokens, spans: list[tuple[int, int, int]]) -> np.ndarray:
     for a, b, _ in spans:
         first, stop = int(np.searchsorted(t.end, a, "right")), int(np.searchsorted(t.start, b))
         if first < stop:
-            out[first:stop] = np.where(out[first:stop] == O, I, out[first:stop])
-            out[first] = B
+            free = out[first:stop] == O
+            out[first:stop][free] = I
+            out[first] = B if free[0] else out[first]
     return out
 
 
@@ -294,8 +296,8 @@ def scan(docs: DataFrame, field: Field | None, into: str = "secrets") -> DataFra
     the result's name is replaced.
     """
     given = docs.drop(into)
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in given.schema)
-    return given.mapInArrow(_scan(field, into), f"{schema}, `{into}` array<struct<kind:string,start:long,end:long>>")
+    spans = T.StructType.fromDDL("spans array<struct<kind:string,start:long,end:long>>")["spans"].dataType
+    return given.mapInArrow(_scan(field, into), T.StructType([*given.schema, T.StructField(into, spans)]))
 
 
 def redacted(docs: DataFrame, spans: str = "secrets", mask: str = "[secret]") -> DataFrame:

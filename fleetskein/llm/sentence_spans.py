@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetskein.llm.words import blocks, mixed, words
 from fleetskein.session import written
@@ -36,7 +37,7 @@ def sentence_runs(texts: list[str | None], sentences: int, least_words: int, lon
     From each sentence on, the run is the shortest that is closed; at the end of a text no run begins that isn't.
     """
     starts = [sentence_starts(t or "") for t in texts]
-    spans = [t[a:b] for t, s in zip(texts, starts, strict=True) for a, b in zip(s, [*s[1:], len(t or "")], strict=True)]
+    spans = [t[a:b] for t, s in zip(texts, starts, strict=True) for a, b in zip(s, [*s[1:], len(t or "")], strict=False)]
     per = np.array([len(s) for s in starts], np.int64)
     w = words(pa.array(spans, pa.large_string()))
     n = w.per_row()
@@ -124,7 +125,8 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int
     cover = again.groupBy("doc_id").agg(F.collect_set(F.struct("first", "size")).alias("_cover"))
     cover = cover.select(F.col("doc_id").alias("_doc"), "_cover")
     names = [c for c in given.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in names)
+    results = T.StructType.fromDDL("text string, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>")
+    schema = T.StructType([*(given.schema[c] for c in names), *results])
     joined = given.join(cover, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    out = joined.mapInArrow(_cut(names), f"{schema}, text string, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>")
+    out = joined.mapInArrow(_cut(names), schema)
     return out.select(*given.columns, "n_sentences", "n_removed", "removed")

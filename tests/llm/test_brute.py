@@ -86,7 +86,7 @@ def test_field_finds_held_out_secrets():
     fresh = f'{prose(20)} token = "{hexes()}" {prose(20)} auth = "{hexes()[:20]}" {prose(9)}'
     t, body, _, _ = secrets_crf.tokens(pa.array([fresh, prose(40)]))
     spans = [bytes(body[a:b]).decode() for a, b, _ in secrets_crf.field_spans(field, t, body, [])]
-    assert any(s.startswith("token") for s in spans) and len(spans) <= 3
+    assert len(spans) <= 4 and all(any(h in s for s in spans) for h in re.findall("[0-9a-f]{20,}", fresh))
     # Decoding equals the best of all paths.
     small = secrets_crf.Tokens(t.start[18:25], t.end[18:25], t.row[18:25], t.features[18:25])
     e = field.emissions(small.features)

@@ -7,7 +7,7 @@ from fleetskein.llm import bpe_duckdb, katz, langid, minhash_oph, perspectives,
 
 RANKS = registry.vocabulary("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, secrets string, cleaned string, component_id string, n_removed string, held string, rid string, a string"
-LONG = " ".join(f"word{k % 977} goes on." for k in range(30_000))
+LONG = " ".join(f"word{k} goes{k * 7} on." for k in range(30_000))
 ROWS = [
     (1, None, None, None, None),
     (2, "", "en", "s", 0),
