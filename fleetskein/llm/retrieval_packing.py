@@ -22,7 +22,7 @@ from fleetskein.session import written
 
 WINDOW = 1024
 #: Rests in one shard of the index.
-SHARD = 1024
+SHARD = 512
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 
@@ -42,7 +42,7 @@ def _cut(path: str, pattern: str, window: int):
             out: list[tuple] = []
             row: list[int] = []
             for k, text in enumerate(block.column("text").to_pylist()):
-                ids = np.array([*encoding.encode_ordinary(text or ""), 0], np.uint32)
+                ids = np.append(encoding.encode_to_numpy(text or "", disallowed_special=()), np.uint32(0)).astype(np.uint32, copy=False)
                 whole = len(ids) // window * window
                 for at in range(0, whole, window):
                     out.append((at, window, crc(ids[at : at + window]), len(ids), 0, None))
@@ -78,8 +78,9 @@ class Shard:
         """All unused rests, best first; ties and rests without a common term in order."""
         own = np.unique(ids)
         at = np.searchsorted(self.terms, own)
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], own)]
+        inside = at < len(self.terms)
+        at, own = at[inside], own[inside]
+        at = at[self.terms[at] == own]
         size = self.size[at]
         where = np.repeat(self.begin[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
         score = np.bincount(self.doc[where], weights=self.weight[where], minlength=self.n)
