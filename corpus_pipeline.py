@@ -28,7 +28,8 @@ def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and documents that fail the rules or lose too much text. Null and empty texts fail."""
-    found = quality_lines.clean_lines(_apart(docs))
+    # Stored before it is filtered, so that no text is measured a second time for the filter.
+    found = written(quality_lines.clean_lines(_apart(docs)).select("doc_id", "_rest", "kept", "cleaned"), "lines")
     return _with_text(found.where("kept").withColumn("text", F.col("cleaned")), docs)
 
 

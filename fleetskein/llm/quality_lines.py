@@ -52,14 +52,13 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with struct ``_m`` of counts; input columns stay as they are.
 
     Null text counts as empty. Each text is split once; arrays are bound as lambda
-    variables, so that no step is evaluated again per element. The outer generator, of one row each, keeps
-    the planner from copying the measurement into every expression that uses it.
+    variables, so that no step is evaluated again per element.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     blank = F.regexp_replace(whole, SPACE, "")
-    return docs.select(
-        "*",
-        F.explode_outer(
+    return docs.withColumn(
+        "_m",
+        F.element_at(
             F.transform(
                 F.array(F.struct(words_of(whole).alias("w"), F.split(whole, "\n").alias("l"))),
                 lambda s: F.struct(
@@ -70,8 +69,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
                     _repeated_words(s["w"]).alias("n_repeat_words"),
                     F.array_join(F.filter(s["l"], lambda x: ~line_fails(x)), "\n").alias("cleaned"),
                 ),
-            )
-        ).alias("_m"),
+            ),
+            1,
+        ),
     )
 
 
