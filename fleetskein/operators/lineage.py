@@ -10,32 +10,35 @@ plain ancestors plus descendants would miss edges. It is run over states
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from fleetskein.operators.artifacts import hydrate
 from fleetskein.schemas import EDGE_COLUMNS
 from fleetskein.session import written
 
-DEFAULT_DEPTH = 10
+#: The depth of a usual walk; callers pass it.
+USUAL_DEPTH = 10
 
 _STATE = ["root_id", "vertex", "heading"]
 
 
-def lineage_edges_of_many(traces: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:
-    """Edges within ``max_depth`` steps of each root (``roots.root_id``); 0 or less means the default.
+def lineage_edges_of_many(traces: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Edges within ``max_depth`` steps of each root (``roots.root_id``); all reachable ones without it, or with 0 or less.
 
     Only (root, vertex, heading) states go round the loop, over two edge columns;
     every level is written, so that its real size decides between broadcast and
     shuffle, and the edges themselves are fetched once at the end.
     """
-    depth = max_depth if max_depth > 0 else DEFAULT_DEPTH
+    bounded = max_depth is not None and max_depth > 0
     ends = traces.select("source_id", "target_id")
     both_ways = F.explode(F.array(F.lit("out"), F.lit("in")))
     seen = frontier = written(
         roots.select("root_id", F.col("root_id").alias("vertex")).distinct().withColumn("heading", both_ways),
         "lineage-0",
     )
-    for level in range(1, depth):
+    for level in range(1, max_depth) if bounded else itertools.count(1):
         reached = F.explode(F.array(
             F.struct(F.col("target_id").alias("vertex"), F.lit("out").alias("heading")),
             F.struct(F.col("source_id").alias("vertex"), F.lit("in").alias("heading")),
@@ -49,7 +52,7 @@ def lineage_edges_of_many(traces: DataFrame, roots: DataFrame, max_depth: int =
     return _touching(_comparable(traces), seen).select("root_id", *EDGE_COLUMNS).distinct()
 
 
-def lineage_edges(traces: DataFrame, root_id: str, max_depth: int = 0) -> DataFrame:
+def lineage_edges(traces: DataFrame, root_id: str, max_depth: int | None = None) -> DataFrame:
     """Edges around one artifact."""
     root = traces.sparkSession.range(1).select(F.lit(root_id).alias("root_id"))
     return lineage_edges_of_many(traces, root, max_depth).drop("root_id")

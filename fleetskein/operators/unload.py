@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fleetskein.functions import times
 from fleetskein.operators.filters import in_pillar, node_like, since as not_before
 
-DEFAULT_LIMIT = 100_000
+#: The limit of a usual export; callers pass it.
+USUAL_LIMIT = 100_000
 COLUMNS = ["node_id", "pillar", "component", "status", "event_timestamp", "metrics", "params"]
 
 
@@ -24,16 +25,18 @@ def unload(
     pattern: str = "",
     pillar: str = "",
     since: datetime | str | Column | None = None,
-    limit: int = 0,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The oldest ``limit`` matching rows in time order; a limit of 0 or less means the default.
+    """The oldest ``limit`` matching rows in time order; all of them without a limit, or with one of 0 or less.
 
     A plain top-n would send ``limit`` rows of every task to one task. A count
     per hour, taken from the time column alone, first finds the hour in which the
     limit is reached; only rows up to that hour are sorted.
     """
-    n = limit if limit > 0 else DEFAULT_LIMIT
     rows = matching(ledger, pattern, pillar, since)
+    if limit is None or limit <= 0:
+        return _typed(rows.orderBy("event_timestamp", "event_id"))
+    n = limit
     hour = F.date_trunc("hour", F.col("event_timestamp").cast("timestamp"))
     per_hour = rows.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     running = per_hour.withColumn("upto", F.sum("n").over(Window.orderBy("hour")))

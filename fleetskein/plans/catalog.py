@@ -94,7 +94,7 @@ def unload_filtered(fx: Fixtures) -> DataFrame:
 
 
 def unload_default(fx: Fixtures) -> DataFrame:
-    return unload.unload(fx.ledger())
+    return unload.unload(fx.ledger(), limit=unload.USUAL_LIMIT)
 
 
 def unload_matching(fx: Fixtures) -> DataFrame:
@@ -144,7 +144,7 @@ def lineage_edges(fx: Fixtures) -> DataFrame:
 
 
 def lineage_default_depth(fx: Fixtures) -> DataFrame:
-    return lineage.lineage_edges(fx.traces(), ROOT)
+    return lineage.lineage_edges(fx.traces(), ROOT, lineage.USUAL_DEPTH)
 
 
 def lineage_artifacts(fx: Fixtures) -> DataFrame:
