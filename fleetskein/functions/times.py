@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: Seconds in 100 years of 365 days: the longest duration a run can claim.
+LONGEST = 3_153_600_000.0
+
 
 def seconds(n: float | Column) -> Column:
     """A day-time interval of ``n`` seconds; fractions count."""
@@ -12,6 +15,11 @@ def seconds(n: float | Column) -> Column:
     return F.make_dt_interval(zero, zero, zero, secs.cast("decimal(18,6)"))
 
 
+def bounded_seconds(n: Column) -> Column:
+    """A claimed duration, held within ``LONGEST`` either way, so that no value can leave the range of times."""
+    return F.least(F.greatest(n, F.lit(-LONGEST)), F.lit(LONGEST))
+
+
 def micros_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end)
 

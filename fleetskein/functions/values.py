@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 _NUMBER_CHARS = r"^[0-9+\-.eE]+$"
@@ -53,6 +55,46 @@ def is_json_value(text: Column) -> Column:
     return F.coalesce(as_item & as_member, F.lit(False))
 
 
+_NAME_WITH_CAPITAL = r'"[^"\\]*[A-Z][^"\\]*"\s*:'
+
+
+def exact_names(text: Column, names: Iterable[str], inner: dict[str, Iterable[str]] | None = None) -> Column:
+    """JSON object text whose members called like ``names`` in another case get the name given there.
+
+    ``inner`` lists the member names of nested objects. Of members that so become equal the last one stays.
+    Text without a capital in any name, and text that is not one JSON object, comes back as it is.
+    """
+    inner = inner or {}
+
+    def respelled(members: Column, wanted: Iterable[str]) -> Column:
+        spelling = F.create_map(*[F.lit(x) for name in wanted for x in (name.lower(), name)])
+        named = F.transform(
+            F.map_entries(members),
+            lambda m: F.struct(F.coalesce(spelling[F.lower(m["key"])], m["key"]).alias("key"), m["value"].alias("value")),
+        )
+        keys = F.transform(named, lambda m: m["key"])
+        return F.filter(named, lambda m, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), m["key"]))
+
+    def joined(members: Column, value) -> Column:
+        return F.concat(F.lit("{"), F.array_join(F.transform(members, value), ","), F.lit("}"))
+
+    def plain(m: Column) -> Column:
+        one = F.to_json(F.create_map(m["key"], m["value"]))
+        return F.substr(one, F.lit(2), F.length(one) - 2)
+
+    def member(m: Column) -> Column:
+        out = plain(m)
+        for name, wanted in inner.items():
+            nested = joined(respelled(F.try_variant_get(m["value"], "$", "map<string,variant>"), wanted), plain)
+            is_object = F.schema_of_variant(m["value"]).startswith("OBJECT")
+            out = F.when((m["key"] == name) & is_object, F.concat(F.lit(f'"{name}":'), nested)).otherwise(out)
+        return out
+
+    members = F.from_json(text, "map<string,variant>", _STRICT)
+    other = text.rlike(_NAME_WITH_CAPITAL) & F.ltrim(text).startswith("{") & is_json_value(text)
+    return F.when(other, F.coalesce(joined(respelled(members, names), member), text)).otherwise(text)
+
+
 def number_or_null(text: Column) -> Column:
     """Decimal number text as double. The pattern keeps out forms only the cast takes, such as ``1.0d`` or `` 1``."""
     return F.when(text.rlike(_NUMBER_CHARS), text.try_cast("double"))

@@ -3,10 +3,9 @@
 A start counts only when no accepted start of the same (node, runner) is still
 active; an abort ends the active one. That rule is sequential, but an abort
 always leaves the runner idle, and so does a moment after the end of every
-earlier start. The log is cut at both, and each stretch is replayed on its own:
-a short stretch by a fold inside one row, a long one (for which no bound can be
-given) by following "next start that can be accepted" links, doubling their
-reach with every join.
+earlier start. The log is cut at both, and each stretch, however long, is replayed
+by following "next start that can be accepted" links, which double their reach
+with every join.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fleetskein.functions.times import seconds, slot_of
+from fleetskein.functions.times import bounded_seconds, seconds, slot_of
 from fleetskein.functions.values import with_document
 from fleetskein.session import written
 
@@ -35,10 +34,10 @@ def parse(messages: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.when(kind(c) == "STRING", F.try_variant_get(c, "$", "string")), F.lit(""))
     readable = F.col("_env.ok") & kind(e["action"]).isin("STRING", "VOID") & kind(e["runner"]).isin("STRING", "VOID")
     action, runner = text(e["action"]), text(e["runner"])
-    # Only a JSON number counts; it is cut to whole seconds.
+    # Only a JSON number counts; it is held within the longest duration and cut to whole seconds.
     duration = e["params"]["duration_sec"]
     number = kind(duration).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
-    duration_sec = F.when(number, F.try_variant_get(duration, "$", "double").try_cast("bigint"))
+    duration_sec = F.when(number, bounded_seconds(F.try_variant_get(duration, "$", "double")).cast("bigint"))
     error = (
         F.when(~readable, "invalid envelope")
         .when(runner == "", "missing runner execution name")
@@ -55,15 +54,13 @@ def parse(messages: DataFrame) -> DataFrame:
     )
 
 
-def replay(
-    messages: DataFrame, known_runners: Iterable[str], slot_seconds: int = 3600, fold_limit: int = 2_000
-) -> DataFrame:
+def replay(messages: DataFrame, known_runners: Iterable[str], slot_seconds: int = 3600) -> DataFrame:
     """Outcome of every control message, in order of (``received_at``, ``msg_id``) per node and runner.
 
     ``started``, ``duplicate_ignored``, ``aborted``, ``abort_ignored``,
     ``unknown_runner`` or ``invalid``.
     """
-    return replay_from(messages, known_runners, None, slot_seconds, fold_limit).select(*OUTCOME_COLUMNS)
+    return replay_from(messages, known_runners, None, slot_seconds).select(*OUTCOME_COLUMNS)
 
 
 def replay_from(
@@ -71,7 +68,6 @@ def replay_from(
     known_runners: Iterable[str],
     open_before: DataFrame | None,
     slot_seconds: int = 3600,
-    fold_limit: int = 2_000,
 ) -> DataFrame:
     """Replay after runs that were open before (``node_id, runner, ends_at``).
 
@@ -96,7 +92,7 @@ def replay_from(
             F.lit("start").alias("action"), F.lit(True).alias("carried"),
         ), allowMissingColumns=True)
     columns = [*OUTCOME_COLUMNS, "ends_at", "carried"]
-    return simple.select(*columns).unionByName(replay_known(active, slot_seconds, fold_limit).select(*columns))
+    return simple.select(*columns).unionByName(replay_known(active, slot_seconds).select(*columns))
 
 
 def open_runs(outcomes: DataFrame) -> DataFrame:
@@ -109,17 +105,9 @@ def open_runs(outcomes: DataFrame) -> DataFrame:
     return last.filter(F.col("last.outcome") == "started").select(*_KEY, "last.ends_at")
 
 
-def replay_known(valid: DataFrame, slot_seconds: int = 3600, fold_limit: int = 2_000) -> DataFrame:
+def replay_known(valid: DataFrame, slot_seconds: int = 3600) -> DataFrame:
     """Replay valid messages of known runners (starts with their ``ends_at``)."""
-    cut = written(_stretches(valid, slot_seconds), "control-stretches")
-    long_ones = written(
-        cut.groupBy(*_STRETCH).count().filter(F.col("count") > fold_limit).select(*_STRETCH), "control-long"
-    )
-    if long_ones.isEmpty():
-        return _folded(cut)
-    short = cut.join(long_ones, _STRETCH, "left_anti")
-    long = cut.join(long_ones, _STRETCH, "left_semi")
-    return _folded(short).unionByName(_linked(long, slot_seconds))
+    return _linked(written(_stretches(valid, slot_seconds), "control-stretches"), slot_seconds)
 
 
 def _stretches(rows: DataFrame, slot_seconds: int) -> DataFrame:
@@ -157,35 +145,8 @@ def _stretches(rows: DataFrame, slot_seconds: int) -> DataFrame:
     )
 
 
-def _folded(rows: DataFrame) -> DataFrame:
-    """Replay short stretches: one array per stretch, folded by a built-in aggregate."""
-    fields = ["received_at", "msg_id", "action", "error", "ends_at", "carried"]
-    time_type = rows.schema["received_at"].dataType.simpleString()
-    done_type = (
-        f"array<struct<received_at:{time_type},msg_id:bigint,action:string,error:string,"
-        f"ends_at:{time_type},carried:boolean,outcome:string>>"
-    )
-    lists = rows.groupBy(*_STRETCH).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("log"))
-    start = F.struct(F.lit(None).cast(time_type).alias("until"), F.array().cast(done_type).alias("done"))
-
-    def step(state: Column, m: Column) -> Column:
-        active = F.coalesce(m["received_at"] < state["until"], F.lit(False))
-        is_abort = m["action"] == "abort"
-        outcome = (
-            F.when(is_abort, F.when(active, "aborted").otherwise("abort_ignored"))
-            .when(active, "duplicate_ignored")
-            .otherwise("started")
-        )
-        until = F.when(is_abort, F.lit(None)).when(active, state["until"]).otherwise(m["ends_at"])
-        row = F.struct(*[m[x] for x in fields], outcome.alias("outcome"))
-        return F.struct(until.cast(time_type).alias("until"), F.concat(state["done"], F.array(row)).alias("done"))
-
-    done = F.aggregate("log", start, step, lambda state: state["done"])
-    return lists.select(*_KEY, F.inline(done)).select(*OUTCOME_COLUMNS, "ends_at", "carried")
-
-
 def _linked(rows: DataFrame, slot_seconds: int) -> DataFrame:
-    """Replay long stretches: mark the starts on the chain of accepted ones, beginning with the first."""
+    """Replay the stretches: mark the starts on the chain of accepted ones, beginning with the first."""
     this = [*_KEY, "msg_id"]
     starts = rows.filter(F.col("action") == "start")
     links = written(_next_possible(starts, slot_seconds), "control-links")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetskein.functions import times
 from fleetskein.functions.times import slot_of
-from fleetskein.functions.values import json_bigint, json_text
+from fleetskein.functions.values import json_bigint, json_text, number_or_null
 from fleetskein.operators.filters import not_run_markers, with_status
 from fleetskein.schemas import RUN_END, RUN_START
 from fleetskein.session import written
@@ -15,10 +15,11 @@ from fleetskein.session import written
 def runs(ledger: DataFrame) -> DataFrame:
     """Every run start: ``node_id, run_id, start_time, end_time``.
 
-    A start whose run id or duration is no number opens no interval (NULL end).
+    A start whose run id or duration is no number opens no interval (NULL end). Durations are held
+    within ``times.LONGEST``.
     """
     metrics = F.col("metrics")
-    duration = json_text(metrics, "duration_sec").try_cast("decimal(18,6)")
+    duration = times.bounded_seconds(number_or_null(F.btrim(json_text(metrics, "duration_sec"))))
     return with_status(ledger, RUN_START).select(
         "node_id",
         "event_id",

@@ -9,10 +9,11 @@ The raw table is best partitioned by ``sensor``: each parser then reads its own
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetskein.functions.values import is_json_value, number_or_null, number_or_zero, with_document
+from fleetskein.functions.values import exact_names, is_json_value, number_or_null, number_or_zero, with_document
 from fleetskein.schemas import LIVE_SESSION
 
 _BLANKS = " \t\r\n\x0b\x0c"
@@ -192,7 +193,8 @@ def ubus_net(raw: DataFrame) -> DataFrame:
 
 
 def ubus_system(raw: DataFrame) -> DataFrame:
-    docs = _document(_of(raw, "ubus_system"), "struct<uptime double, memory struct<total double, free double>>")
+    text = exact_names(F.col("raw"), ["uptime", "memory"], {"memory": ["total", "free"]})
+    docs = _document(_of(raw, "ubus_system").withColumn("raw", text), "struct<uptime double, memory struct<total double, free double>>")
     value = lambda path: F.coalesce(F.col(f"doc.{path}"), F.lit(0.0))
     return _readings(
         docs,
@@ -223,16 +225,25 @@ def unix_host(raw: DataFrame) -> DataFrame:
 
 
 def win_cim(raw: DataFrame) -> DataFrame:
-    """Whole, non-negative kilobyte counts."""
+    """Kilobyte counts, whole numbers below 2^64; a missing or null one is 0."""
+    names = ["totalvisiblememorysize", "freephysicalmemory"]
     docs = _document(
-        _of(raw, "win_cim"), "struct<TotalVisibleMemorySize bigint, FreePhysicalMemory bigint>"
+        _of(raw, "win_cim").withColumn("raw", exact_names(F.col("raw"), names)),
+        f"struct<{', '.join(f'{name} variant' for name in names)}>",
     )
-    value = lambda name: F.coalesce(F.col(f"doc.{name}"), F.lit(0))
-    total, free = value("TotalVisibleMemorySize"), value("FreePhysicalMemory")
+
+    def count(name: str) -> Column:
+        v = F.col(f"doc.{name}")
+        whole = F.schema_of_variant(v).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$")
+        nothing = F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "VOID"
+        return F.when(nothing, F.lit(0)).when(whole, F.try_variant_get(v, "$", "decimal(20,0)"))
+
+    total, free = count(names[0]), count(names[1])
+    most = F.lit(Decimal(2**64 - 1))
     return _readings(
-        docs.filter((total >= 0) & (free >= 0)),
+        docs.filter(total.between(0, most) & free.between(0, most)),
         "host-os",
-        _metrics(mem_total_mb=total / 1024.0, mem_free_mb=free / 1024.0),
+        _metrics(mem_total_mb=total.cast("double") / 1024.0, mem_free_mb=free.cast("double") / 1024.0),
     )
 
 

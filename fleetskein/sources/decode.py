@@ -2,15 +2,16 @@
 
 Spark's JSON reader is forgiving: it turns numbers into strings and takes dates
 for timestamps. The scalar members are therefore read as variants and their JSON
-type is looked at before they are taken. Keys are matched in exact case. An
-object *inside* a metric value that repeats a key counts as malformed.
+type is looked at before they are taken. Keys match in any case, the last of
+several counts. An object *inside* a metric value that repeats a key counts as
+malformed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetskein.functions.values import canonical_json, is_json_value, with_document
+from fleetskein.functions.values import canonical_json, exact_names, is_json_value, with_document
 
 _ARTIFACT = "id variant, kind variant, node_id variant, meta map<string,variant>, created_at variant"
 _TRACE = (
@@ -30,11 +31,17 @@ _ZERO_TIME = "0001-01-01T00:00:00Z"
 _TEXTS = ["event_id", "node_id", "node_group", "session_id", "pillar", "component", "status"]
 _ARTIFACT_TEXTS = ["id", "kind", "node_id"]
 _TRACE_TEXTS = ["source_id", "verb", "target_id", "node_id", "run_id"]
+_MEMBERS = [*_TEXTS, "event_timestamp", "metrics", "params", "artifact", "trace"]
+_INNER = {
+    "artifact": [*_ARTIFACT_TEXTS, "meta", "created_at"],
+    "trace": [*_TRACE_TEXTS, "meta", "timestamp"],
+}
 
 
 def decode(messages: DataFrame) -> DataFrame:
     """Add ``event`` (typed struct) and ``reason`` (NULL when the payload is well formed)."""
-    read = with_document(messages, "payload", "_json", f"struct<{_ENVELOPE}>")
+    named = messages.withColumn("_text", exact_names(F.col("payload"), _MEMBERS, _INNER))
+    read = with_document(named, "_text", "_json", f"struct<{_ENVELOPE}>").drop("_text")
     e = F.col("_json.value")
     payload = F.coalesce(F.btrim("payload", F.lit(" \t\r\n")), F.lit(""))
     shaped = payload.startswith("{") | (payload == "null")

@@ -138,3 +138,20 @@ def test_map_merge(spark):
     df = spark.sql("SELECT map('a','1','b','2') AS old, map('b','3') AS new, cast(null AS map<string,string>) AS none")
     row = df.select(values.merge_maps(F.col("old"), F.col("new")), values.merge_maps(F.col("none"), F.col("new"))).first()
     assert row[0] == {"a": "1", "b": "3"} and row[1] == {"b": "3"}
+
+
+def test_names_in_any_case(spark):
+    """The last of several spellings counts, nested objects included; what stands in values and metrics stays."""
+    payloads = [
+        '{"Node_ID":"a","node_id":"b","Metrics":{"GPU":1,"gpu":2.50},"Artifact":{"ID":"x","Kind":"k","META":{"A":"1"}}}',
+        '{"node_id":"a","NODE_ID":"Node_ID\\": 5"}',
+        '{"Node_ID":"a"} x',
+        '{"Node_ID":5}',
+    ]
+    rows = {r["msg_id"]: r for r in decoded(spark, payloads).collect()}
+    first = rows[0]["event"]
+    assert (first["node_id"], first["artifact"]["id"], first["artifact"]["kind"], first["artifact"]["meta"]) == ("b", "x", "k", {"A": "1"})
+    assert {k: v.toPython() for k, v in first["metrics"].items()} == {"GPU": 1, "gpu": 2.5}
+    assert rows[1]["event"]["node_id"] == 'Node_ID": 5'
+    assert [rows[i]["reason"] for i in range(4)] == [None, None, "bad_json", "wrong_type"]
+    assert rows[0]["payload"] == payloads[0]

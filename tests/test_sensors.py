@@ -111,3 +111,12 @@ def test_ledger_form(spark):
     assert json.loads(rows["npu-coral-apex_1"]["metrics"]) == {"npu_temp_c": 1.0}
     assert rows["host-os"]["metrics"] == "{}" and rows["host-os"]["status"] == "active"
     assert sensors.as_metrics(sensors.normalise(raw)).count() == 1
+
+
+def test_names_in_any_case_and_unsigned_counts(spark):
+    system = parse(spark, "ubus_system", '{"Uptime":5,"uptime":6,"MEMORY":{"Total":2097152,"free":1048576}}')
+    assert system == [("host-os", {"uptime_s": 6.0, "mem_total_mb": 2.0, "mem_free_mb": 1.0})]
+    for text in ('{"totalvisiblememorysize":2048,"FreePhysicalMemory":512}', '{"TOTALVisibleMemorySize":2048,"freephysicalmemory":512}'):
+        assert parse(spark, "win_cim", text) == [("host-os", {"mem_total_mb": 2.0, "mem_free_mb": 0.5})]
+    large = parse(spark, "win_cim", '{"TotalVisibleMemorySize":%d}' % 2**63, '{"TotalVisibleMemorySize":%d}' % 2**64, '{"TotalVisibleMemorySize":1.5}')
+    assert large == [("host-os", {"mem_total_mb": 2.0**53, "mem_free_mb": 0.0})]
