@@ -35,10 +35,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id; of equal rows one."""
-    kept = minhash_oph.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("_times"))
-    kept = written(kept.select(F.col("doc_id").alias("_kept"), "_times"), "kept")
-    held = lambda rule: docs.join(kept.where(rule), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return held("_times = 1").unionByName(held("_times > 1").dropDuplicates(["doc_id", "text"]))
+    rows = minhash_oph.near_duplicates(docs).groupBy("doc_id").agg(F.count_if("kept").alias("_times"))
+    # Ids that go are fewer than those that stay; each list is written, so that its real size decides how it is joined.
+    rows = written(rows.where("_times <> 1").select(F.col("doc_id").alias("_id"), "_times"), "decided")
+    several = written(rows.where("_times > 1"), "several")
+    same = lambda ids: docs["doc_id"].eqNullSafe(ids["_id"])
+    once = docs.join(rows, same(rows), "left_anti")
+    return once.unionByName(docs.join(several, same(several), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
