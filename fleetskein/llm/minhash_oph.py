@@ -173,9 +173,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     centres = entries.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre"))
 
     needed = written(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "least", *key), "needed")
-    texts = given.join(needed.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(given.where("doc_id IS NULL"))
+    # Written by itself, so that the size of the ids alone decides how the texts are found.
+    asked = written(needed.select(F.col("least").alias("doc_id")).distinct(), "asked")
+    texts = given.join(asked, "doc_id", "left_semi").unionByName(given.where("doc_id IS NULL"))
     found = texts.mapInArrow(_sets(shingle), "n_shingles long, s1 long, s2 long, shingles array<long>, bits array<long>")
-    sets = written(needed.join(found, key).dropDuplicates(["node"]).select("node", "shingles", "bits"), "sets")
+    sets = written(needed.join(found, key).dropDuplicates(key).select("node", "shingles", "bits"), "sets")
 
     starred = written(entries.join(centres, "bucket").select("bucket", "node", "n", "centre"), "starred")
     stars = starred.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
