@@ -105,7 +105,7 @@ def unload_matching(fx: Fixtures) -> DataFrame:
 # Runs and control
 
 def run_starts(fx: Fixtures) -> DataFrame:
-    return runs.runs(fx.ledger()).drop("event_id")
+    return runs.runs(fx.ledger())
 
 
 def run_events(fx: Fixtures) -> DataFrame:
@@ -186,14 +186,15 @@ def ingest_ledger(fx: Fixtures) -> DataFrame:
     rows = decode.ledger_rows(_decoded(fx))
     metric = lambda key: values.json_text(F.col("metrics"), key)
     return _plain_times(rows.select(
-        "event_id", "node_id", "pillar", "component", "status", "event_timestamp", "params", "event_date",
+        "event_id", "node_id", "node_group", "session_id", "pillar", "component", "status", "event_timestamp", "params",
+        "ingested_at", "event_date",
         metric("temperature_c").try_cast("double").alias("temperature_c"),
         values.json_bigint(F.col("metrics"), "run_id").alias("run_id"),
     ))
 
 
 def ingest_quarantine(fx: Fixtures) -> DataFrame:
-    return decode.quarantine(_decoded(fx)).select("msg_id", "topic", "payload", "reason")
+    return _plain_times(decode.quarantine(_decoded(fx)))
 
 
 def ingest_artifacts(fx: Fixtures) -> DataFrame:

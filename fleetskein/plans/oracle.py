@@ -68,7 +68,7 @@ _RUN_ROWS = """ FROM {runs} lr JOIN ledger t ON t.node_id = lr.node_id
 _PARSED = """, parsed AS (
   SELECT msg_id, node_id, received_at, json_extract_string(payload, '$.runner') AS runner,
     json_extract_string(payload, '$.action') AS raw_action,
-    coalesce(json_extract_string(payload, '$.params.duration_sec')::bigint, 60) AS duration_sec FROM control
+    least(coalesce(json_extract_string(payload, '$.params.duration_sec')::bigint, 60), 3153600000) AS duration_sec FROM control
 ), validated AS (
   SELECT msg_id, node_id, runner, received_at, CASE WHEN raw_action = '' THEN 'start' ELSE raw_action END AS action,
     duration_sec,
@@ -390,7 +390,7 @@ def statements() -> dict[str, str]:
         "unload_matching": _with("base ledger", f"""
             SELECT event_id, node_id, pillar, event_timestamp FROM ledger
             WHERE node_id LIKE 'node-_' AND pillar = 'runner' AND event_timestamp >= '{catalog.SINCE}'"""),
-        "run_starts": _with("base ledger", _RUNS + " SELECT node_id, run_id, start_time, end_time FROM runs"),
+        "run_starts": _with("base ledger", _RUNS + " SELECT node_id, event_id, run_id, start_time, end_time FROM runs"),
         "run_events": _with("base ledger", """
             SELECT node_id, event_id, status, json_extract_string(metrics, '$.run_id')::bigint AS run_id,
               json_extract_string(metrics, '$.duration_sec')::double AS duration_sec, event_timestamp
@@ -425,6 +425,8 @@ def statements() -> dict[str, str]:
               len(string_split(topic, '/')) AS levels, string_split(topic, '/')[5] AS fifth FROM msgs"""),
         "ingest_ledger": _with("base msgs", _DOCS + f"""
             SELECT msg_id AS event_id, {_text('node_id')} AS node_id,
+              json_extract_string(doc, '$.node_group') AS node_group, json_extract_string(doc, '$.session_id') AS session_id,
+              received_at AS ingested_at,
               coalesce(nullif(json_extract_string(doc, '$.pillar'), ''), 'observer') AS pillar,
               {_text('component')} AS component, {_text('status')} AS status, event_timestamp,
               {_canonical('params')} AS params, event_timestamp::date AS event_date,
@@ -432,7 +434,7 @@ def statements() -> dict[str, str]:
               json_extract_string(doc, '$.metrics.run_id')::bigint AS run_id
             FROM good"""),
         "ingest_quarantine": _with("base msgs", _DOCS + """
-            SELECT msg_id, topic, payload, reason FROM decoded WHERE reason IS NOT NULL"""),
+            SELECT msg_id, topic, payload, received_at, reason FROM decoded WHERE reason IS NOT NULL"""),
         "ingest_artifacts": _with("base msgs", _DOCS + f""", log AS (
               SELECT msg_id AS seq, {_text('artifact.id')} AS id, {_text('artifact.kind')} AS kind,
                 json_extract_string(doc, '$.artifact.meta.k') AS k, event_timestamp, received_at

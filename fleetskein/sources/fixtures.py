@@ -92,7 +92,7 @@ SELECT event_id AS msg_id, node_id,
   '{"action":"' || CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'abort' WHEN 'click' THEN 'pause'
      WHEN 'error' THEN 'start' ELSE '' END
   || '","runner":"' || CASE WHEN event_type = 'error' THEN '' WHEN event_id % 11 = 0 THEN 'unknown' ELSE 'benchmark' END
-  || '","params":{' || CASE WHEN k % 5 = 0 THEN '' ELSE '"duration_sec":' || cast(k * 600 as string) || ',' END
+  || '","params":{' || CASE WHEN k % 5 = 0 THEN '' ELSE '"duration_sec":' || CASE WHEN event_id % 97 = 0 THEN '1000000000000' ELSE cast(k * 600 as string) END || ',' END
   || '"target_system":true}}' AS payload,
   ts AS received_at
 FROM base
