@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_scratch: dict[str, str] = {}
+#: Folders of the tables that ``written`` made, and per thread the open ``passing`` blocks.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_open = threading.local()
 
 
 def build_session(app: str = "fleetskein", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,12 +62,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
     This cuts the lineage of iterative plans, survives the loss of executors and
     gives the planner the real size, so that Spark broadcasts the table only when
-    it is below ``spark.sql.autoBroadcastJoinThreshold``.
+    it is below ``spark.sql.autoBroadcastJoinThreshold``. ``keep`` hands the table
+    past the innermost ``passing`` block to the one around it.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
@@ -70,4 +78,38 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _places[table] = path
+    around = _blocks()[:-1] if keep else _blocks()
+    if around:
+        around[-1].append(table)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        place = _places.pop(table, None)
+        if place:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables written inside are deleted when the block ends, so results that leave it must not read them.
+
+    Those written with ``keep`` stay, or end with the block around this one.
+    """
+    _blocks().append([])
+    try:
+        yield
+    finally:
+        discard(*_blocks().pop())
+
+
+def _blocks() -> list[list[DataFrame]]:
+    if not hasattr(_open, "blocks"):
+        _open.blocks = []
+    return _open.blocks
