@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetskein.llm import minhash_oph, quality_lines, registry, retrieval_packing, secrets_crf, sentence_spans
-from fleetskein.session import written
+from fleetskein.session import discard, passing, written
 
 
 def _apart(docs: DataFrame) -> DataFrame:
@@ -35,9 +35,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id; of equal rows one."""
-    rows = minhash_oph.near_duplicates(docs).groupBy("doc_id").agg(F.count_if("kept").alias("_times"))
-    # Ids that go are fewer than those that stay; each list is written, so that its real size decides how it is joined.
-    rows = written(rows.where("_times <> 1").select(F.col("doc_id").alias("_id"), "_times"), "decided")
+    with passing():
+        rows = minhash_oph.near_duplicates(docs).groupBy("doc_id").agg(F.count_if("kept").alias("_times"))
+        # Ids that go are fewer than those that stay; each list is written, so that its real size decides how it is joined.
+        rows = written(rows.where("_times <> 1").select(F.col("doc_id").alias("_id"), "_times"), "decided", keep=True)
     several = written(rows.where("_times > 1"), "several")
     same = lambda ids: docs["doc_id"].eqNullSafe(ids["_id"])
     once = docs.join(rows, same(rows), "left_anti")
@@ -75,5 +76,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with passing():
+            done = written(stage(spark, docs, sf_dir), name, keep=True)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

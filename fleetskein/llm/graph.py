@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetskein.session import written
+from fleetskein.session import discard, passing, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -33,13 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns a, b; self loops and repeated edges do no harm. Each round is
     written to the shared folder; rounds end when the edge set stays as it is.
     """
-    now = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
-        now = written(_small_star(_large_star(now)), "edges")
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    with passing():
+        now = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
+        before = None
+        while True:
+            mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if mark == before or not mark[0]:
+                break
+            before, last = mark, now
+            now = written(_small_star(_large_star(now)), "edges")
+            discard(last)
+        stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return written(stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "linked", keep=True)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetskein.llm.words import blocks, mixed, words
-from fleetskein.session import written
+from fleetskein.session import passing, written
 
 #: A sentence ends behind its end marks and the spaces that follow, or at a line break.
 SENTENCE = re.compile(r"[^\n]*?(?:[.!?…。！？]+[\"'”’»)\]]*(?:[^\S\n]+|\n+|$)|\n+|$)", re.S)
@@ -114,16 +114,14 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int
     given = docs.drop("n_sentences", "n_removed", "removed")
     kind = given.schema["doc_id"].dataType.simpleString()
     found = given.select("doc_id", "text").mapInArrow(_runs(sentences, least_words, lone_words), f"doc_id {kind}, first int, size int, h1 long, h2 long")
-    runs = written(found.withColumn("_none", F.col("doc_id").isNull()), "runs")
-    firsts = (
-        runs.groupBy("h1", "h2")
-        .agg(F.min(F.struct("_none", "doc_id", "first")).alias("origin"), F.count("*").alias("times"))
-        .where("times > 1")
-    )
-    again = runs.join(firsts, ["h1", "h2"]).where(~F.struct("_none", "doc_id", "first").eqNullSafe(F.col("origin")))
-    # Bounded by one document's sentences.
-    cover = again.groupBy("doc_id").agg(F.collect_set(F.struct("first", "size")).alias("_cover"))
-    cover = cover.select(F.col("doc_id").alias("_doc"), "_cover")
+    with passing():
+        runs = written(found.withColumn("_none", F.col("doc_id").isNull()), "runs")
+        place = F.struct("_none", "doc_id", "first")
+        firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.count("*").alias("times")).where("times > 1")
+        again = runs.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("origin")))
+        # Bounded by one document's sentences.
+        cover = again.groupBy("doc_id").agg(F.collect_set(F.struct("first", "size")).alias("_cover"))
+        cover = written(cover.select(F.col("doc_id").alias("_doc"), "_cover"), "cover", keep=True)
     names = [c for c in given.columns if c != "text"]
     results = T.StructType.fromDDL("text string, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>")
     schema = T.StructType([*(given.schema[c] for c in names), *results])
