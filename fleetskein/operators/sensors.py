@@ -102,16 +102,33 @@ def amd(raw: DataFrame) -> DataFrame:
     )
 
 
+def _whole_values(pieces: Column) -> Column:
+    """The values that consecutive pieces make up, as text; NULL at the end for what makes up none."""
+    start = F.struct(F.array().cast("array<string>").alias("whole"), F.lit(None).cast("string").alias("begun"))
+
+    def step(done: Column, piece: Column) -> Column:
+        text = F.concat_ws(",", done["begun"], piece)
+        ended = is_json_value(text)
+        return F.struct(
+            F.when(ended, F.concat(done["whole"], F.array(text))).otherwise(done["whole"]).alias("whole"),
+            F.when(~ended, text).alias("begun"),
+        )
+
+    rest = F.array(F.lit(None).cast("string"))
+    return F.aggregate(pieces, start, step, lambda done: F.when(done["begun"].isNull(), done["whole"]).otherwise(F.concat(done["whole"], rest)))
+
+
 def intel(raw: DataFrame) -> DataFrame:
     """A JSON array, often cut off: elements count up to the first that is no object.
 
-    A dump that is no complete array is taken apart between ``},`` and ``{``.
+    A dump that is no complete array is taken apart behind each ``},``; pieces that are no whole
+    value, since the border lay inside an element, are put together again.
     """
     text = F.col("raw")
-    pieces = F.split(F.regexp_replace(text, r"^\s*\[|\]\s*$", ""), r"(?<=\})\s*,\s*(?=\{)")
+    pieces = F.split(F.regexp_replace(text, r"^\s*\[|\]\s*$", ""), r"(?<=\})\s*,")
     elements = F.coalesce(
         F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"),
-        F.transform(pieces, lambda p: F.when(is_json_value(p), F.try_parse_json(p))),
+        F.transform(_whole_values(pieces), F.try_parse_json),
     )
     usable = lambda v: F.coalesce(F.schema_of_variant(v).rlike("^(OBJECT|VOID)"), F.lit(False))
     first_bad = F.array_position(F.transform("elements", usable), F.lit(False))

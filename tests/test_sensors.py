@@ -48,6 +48,9 @@ def test_amd(spark):
     ('[{"power":{"GPU":1}},\n{"power":{"GPU":2}}', [{"power_w": 1.0}, {"power_w": 2.0}]),
     ('[{"power":{"GPU":1}},\n{"power":{"GP', [{"power_w": 1.0}]),
     ('[{"power":{"GPU":1}},{"pow},{"power":{"GPU":2}}', [{"power_w": 1.0}]),
+    ('[{"clients":[{"pid":1},{"pid":2}],"power":{"GPU":1}},{"clients":[{},{"a":{}}],"power":{"GPU":2}} ,{"clients":[{"pid":3},', [{"power_w": 1.0}, {"power_w": 2.0}]),
+    ('[{"power":{"GPU":1}},7,{"power":{"GPU":2}', [{"power_w": 1.0}]),
+    ('[{"name":"{}, {","power":{"GPU":1}},{"name":"},{"', [{"power_w": 1.0}]),
     ("[]", []), ("", []), ('{"power":{"GPU":1}}', []), ("[null]", [{}]),
 ])
 def test_intel(spark, raw, expected):
