@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetskein.functions.times import bounded_seconds, seconds, slot_of
 from fleetskein.functions.values import with_document
-from fleetskein.session import written
+from fleetskein.session import discard, written
 
 DEFAULT_DURATION = 60
 ACTIONS = ("start", "abort")
@@ -158,10 +158,13 @@ def _linked(rows: DataFrame, slot_seconds: int) -> DataFrame:
     )
     while not links.isEmpty():
         further = reached.join(links, this).select(*_KEY, F.col("next_id").alias("msg_id"))
+        before = (reached, links)
         reached = written(reached.union(further).distinct(), "control-reached")
         hop = links.select(*_KEY, F.col("msg_id").alias("next_id"), F.col("next_id").alias("far_id"))
         doubled = links.join(hop, [*_KEY, "next_id"]).select(*this, F.col("far_id").alias("next_id"))
         links = written(doubled, "control-links")
+        discard(*before)
+    discard(links)
 
     # A stretch ends with its abort, if it has one: the run of the last accepted start is what it meets.
     last_until = starts.join(reached, this, "left_semi").groupBy(*_STRETCH).agg(

@@ -12,6 +12,7 @@ from fleetskein.operators.filters import for_node, is_identifier
 from fleetskein.operators.latest import latest_of_node
 from fleetskein.operators.runs import latest_run_telemetry
 from fleetskein.operators.status import offline_nodes
+from fleetskein.session import written
 
 
 def register_view(spark: SparkSession, name: str, select: str) -> DataFrame:
@@ -45,16 +46,16 @@ def _or_text(lines: DataFrame, fallback: str) -> DataFrame:
     return lines.unionByName(text, allowMissingColumns=True)
 
 
-def _required(args: dict[str, Any], name: str) -> str:
+def _required(args: dict[str, Any], name: str, error: str) -> str:
     value = args.get(name)
     if not isinstance(value, str):
-        raise ValueError(f"Missing required argument '{name}'")
+        raise ValueError(error)
     return value
 
 
 def node_telemetry(ledger: DataFrame, args: dict[str, Any], as_of: Column | None = None) -> DataFrame:
     """The five newest rows of a node; ``full_time`` prints date and time."""
-    node = _required(args, "node_id")
+    node = _required(args, "node_id", "Missing required argument 'node_id'")
     full = bool(args.get("full_time"))
     at = F.col("event_timestamp")
     line = times.reading_line(times.rfc3339(at) if full else times.clock(at), F.col("component"), F.col("metrics"))
@@ -65,8 +66,9 @@ def node_telemetry(ledger: DataFrame, args: dict[str, Any], as_of: Column | None
 
 def latest_benchmark(ledger: DataFrame, args: dict[str, Any], as_of: Column | None = None) -> DataFrame:
     """A header with the number of rows, then one line per row, ordered by time; never one text of unknown size."""
-    node = _required(args, "node_id")
-    rows = latest_run_telemetry(for_node(ledger, node))
+    node = _required(args, "node_id", "Missing node_id")
+    # Written, so that the header does not join the runs a second time.
+    rows = written(latest_run_telemetry(for_node(ledger, node)).select("event_timestamp", "event_id", "line"), "benchmark")
     found = rows.agg(F.count(F.lit(1)).alias("n"))
     header = found.select(
         F.lit(None).cast("timestamp_ntz").alias("at"),

@@ -118,3 +118,12 @@ def test_questions(spark):
     for name, args in (("get_node_telemetry", {}), ("analyze_latest_benchmark", {"node_id": 5}), ("nothing", {})):
         with pytest.raises(ValueError):
             views.ask(rows, name, args)
+
+
+@pytest.mark.parametrize("name, error", [
+    ("get_node_telemetry", "^Missing required argument 'node_id'$"),
+    ("analyze_latest_benchmark", "^Missing node_id$"),
+])
+def test_error_texts(spark, name, error):
+    with pytest.raises(ValueError, match=error):
+        views.ask(spark.range(1), name)
