@@ -185,37 +185,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
         stars = written(compared(stars, sets), "stars")
         near = F.col("common") * 100 >= F.col("union") * percent
         linked = components(stars.where(near))
-        buckets = starred.select("bucket", "node", "n")
-        low = 0
+        # ``free``: shingles beyond the set's bits; two sets have no more in common than the smaller of it and their common bits.
+        words_ = [F.col("bits")[k].alias(f"w{k}") for k in range(BITMAP)]
+        free = F.col("n") - sum((F.bit_count(F.col("bits")[k]) for k in range(BITMAP)), F.lit(0))
+        outside, left, high = F.col("component") != F.col("main"), None, 8
         while True:
-            # Buckets whose nodes lie in more than one component.
-            part = buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            # Buckets whose nodes lie in more than one component; components only grow, so no bucket comes back.
+            part = (starred.select("bucket", "node", "n") if left is None else left.drop("component", "wait")).join(linked, "node", "left")
+            part = part.withColumn("component", F.coalesce("component", "node"))
             per = part.groupBy("bucket", "component").agg(F.count("*").alias("size"))
             several = per.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("total"), F.max("size").alias("most"))
-            # New centres come from outside the main component, in the order of a hash, in rounds of growing share.
-            share = F.when(F.col("component") != F.col("main"), (F.xxhash64("node") / F.lit(2.0**64) + 0.5) * (F.col("total") - F.col("most")))
-            left = part.join(several.where("total > most"), "bucket").withColumn("share", share)
-            # ``free``: shingles beyond the set's bits; two sets have no more in common than the smaller of it and their common bits.
-            words_ = [F.col("bits")[k].alias(f"w{k}") for k in range(BITMAP)]
-            free = F.col("n") - sum((F.bit_count(F.col("bits")[k]) for k in range(BITMAP)), F.lit(0))
-            left = written(left.join(sets.select("node", "bits"), "node").select("bucket", "node", "n", free.alias("free"), "component", "share", *words_), "left")
-            centre = left.where(F.col("share") >= low)
-            if centre.isEmpty():
+            part = part.join(several.where("total > most"), "bucket")
+            if left is None:
+                # New centres come from outside the main component, in the order of a hash, in rounds of growing share. Shares and
+                # what was a centre (``done``) are kept: the main component grows and may be another one in a later round.
+                share = (F.xxhash64("node") / F.lit(2.0**64) + 0.5) * (F.col("total") - F.col("most"))
+                part = part.withColumn("share", share).withColumn("done", F.lit(False)).join(sets.select("node", "bits"), "node")
+                part = part.select("*", free.alias("free"), *words_).drop("bits")
+            else:
+                part = part.withColumn("done", F.col("done") | F.col("turn")).drop("turn")
+            wait = outside & ~F.col("done")
+            part = part.withColumn("wait", wait).withColumn("turn", wait & (F.col("share") < high)).drop("main", "total", "most")
+            last, left = left, written(part, "left")
+            if last is not None:
+                discard(last)
+            if left.where("wait").isEmpty():
                 break
-            high = max(8, 8 * low)
-            centre = centre.where(F.col("share") < high).select("bucket", *[F.col(c).alias(f"c_{c}") for c in left.columns[1:]])
+            centre = left.where("turn").select("bucket", *[F.col(c).alias(f"c_{c}") for c in left.columns if c != "bucket"])
             common = sum((F.bit_count(F.col(f"w{k}").bitwiseAND(F.col(f"c_w{k}"))) for k in range(BITMAP)), F.least("free", "c_free"))
             may = (
                 (F.col("component") != F.col("c_component"))
-                & (F.col("share").isNull() | (F.col("share") > F.col("c_share")))
+                & ~F.col("done")
+                & (~F.col("turn") | (F.col("node") > F.col("c_node")))
                 & (common * (100 + percent) >= (F.col("n") + F.col("c_n")) * percent)
             )
             pairs = left.join(centre, "bucket").where(may).select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
             new = written(compared(pairs, sets).where(near).select("a", "b"), "links")
             if not new.isEmpty():
                 linked = components(new.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-            discard(left)
-            low = high
+            high *= 8
 
         ids = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = ids.groupBy("component").agg(F.min("least").alias("component_id"))

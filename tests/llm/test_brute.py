@@ -206,6 +206,22 @@ def test_minhash_loses_no_link_in_a_family(spark):
     assert {r.doc_id: r.component_id for r in rows} == expected and len(set(expected.values())) > 1
 
 
+def test_minhash_searches_a_bucket_while_its_main_component_grows(spark):
+    """All texts hold the word of the smallest hash, so one bucket has them all; links form chains that round one joins in part."""
+    import pyarrow as pa
+
+    _, h, _ = minhash_oph.shingle_sets(pa.array([f"w{k}" for k in range(4000)]), 1)
+    rng, docs = np.random.default_rng(11), []
+    for chain, length in enumerate((150, 90, 40, 20)):
+        docs += [" ".join([f"w{int(h.argmin())}", *(f"c{chain}x{k + j}" for j in range(9))]) for k in range(length)]
+    docs = list(zip(rng.permutation(len(docs)).tolist(), docs, strict=True))
+    smallest = min(minhash_oph.shingle_sets(pa.array([t for _, t in docs]), 1)[1])
+    assert smallest == h.min()
+    expected = classes({i: shingles(t, 1) for i, t in docs}, 80)
+    rows = minhash_oph.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=1, bins=1, rows=1).collect()
+    assert {r.doc_id: r.component_id for r in rows} == expected and len(set(expected.values())) == 4
+
+
 def test_sentence_spans(spark, texts):
     first, removed = {}, defaultdict(set)
     for i in sorted(texts):
