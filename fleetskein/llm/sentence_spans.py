@@ -34,7 +34,8 @@ def sentence_starts(text: str) -> list[int]:
 def sentence_runs(texts: list[str | None], sentences: int, least_words: int, lone_words: int) -> tuple[np.ndarray, ...]:
     """All runs of a block: row, first sentence, number of sentences, two 64-bit hashes of the words.
 
-    From each sentence on, the run is the shortest that is closed; at the end of a text no run begins that isn't.
+    From each sentence on, the run is the shortest that is closed by ``sentences`` and ``least_words``; at the end of a
+    text no run begins that isn't. A sentence of ``lone_words`` is a run by itself besides.
     """
     starts = [sentence_starts(t or "") for t in texts]
     spans = [t[a:b] for t, s in zip(texts, starts, strict=True) for a, b in zip(s, [*s[1:], len(t or "")], strict=False)]
@@ -46,8 +47,8 @@ def sentence_runs(texts: list[str | None], sentences: int, least_words: int, lon
     last = np.repeat(np.cumsum(per), per)
     first = np.arange(len(spans))
     end = np.maximum(np.searchsorted(upto, upto[:-1] + least_words), first + sentences)
-    end = np.where(n >= lone_words, first + 1, end)
-    at = np.flatnonzero((end <= last) & (n > 0))
+    at, alone = np.flatnonzero((end <= last) & (n > 0)), np.flatnonzero(n >= lone_words)
+    at, end = np.concatenate([at, alone]), np.concatenate([end[at], alone + 1])
     # Position-weighted sums over words; the position counts from the run's first word.
     place = np.arange(len(w.hash), dtype=np.uint64)
     hashes = []
@@ -59,10 +60,10 @@ def sentence_runs(texts: list[str | None], sentences: int, least_words: int, lon
         back[0] = 1
         back = np.cumprod(back, dtype=np.uint64)
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(w.hash ^ np.uint64(base)) * weight[: len(place)], dtype=np.uint64)])
-        a, b = upto[at], upto[end[at]]
+        a, b = upto[at], upto[end]
         hashes.append(mixed((prefix[b] - prefix[a]) * back[a] + (b - a).astype(np.uint64)).view(np.int64))
     base = np.cumsum(per) - per
-    return row[at], (at - base[row[at]]).astype(np.int32), (end[at] - at).astype(np.int32), hashes[0], hashes[1]
+    return row[at], (at - base[row[at]]).astype(np.int32), (end - at).astype(np.int32), hashes[0], hashes[1]
 
 
 def _runs(sentences: int, least_words: int, lone_words: int):

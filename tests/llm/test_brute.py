@@ -242,6 +242,17 @@ def test_sentence_spans(spark, texts):
         assert r.text == kept + texts[r.doc_id][at:]
 
 
+def test_repeated_passage_that_begins_with_a_long_sentence(spark):
+    """45 and 38 words: the second sentence goes with the first, in the middle and at the end of a text."""
+    sentence = lambda name, n: " ".join(f"{name}{k}" for k in range(n)) + ". "
+    passage = sentence("a", 45) + sentence("b", 38)
+    docs = [(1, sentence("x", 30) + passage + sentence("y", 30)), (2, sentence("u", 30) + passage + sentence("v", 30)), (3, sentence("s", 30) + passage)]
+    docs += [(4, sentence("q", 30) + sentence("a", 45) + sentence("r", 30))]
+    rows = {r.doc_id: r for r in sentence_spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: r.n_removed for i, r in rows.items()} == {1: 0, 2: 2, 3: 2, 4: 1}
+    assert rows[2].text == sentence("u", 30) + sentence("v", 30) and rows[3].text == sentence("s", 30)
+
+
 def test_quality(spark, texts):
     for r in found(spark, "op10_quality_lines"):
         t = texts[r.doc_id]
