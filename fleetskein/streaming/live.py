@@ -10,6 +10,7 @@ from fleetskein.operators.alerts import registry_alerts
 from fleetskein.operators.latest import latest_row
 from fleetskein.sources.messages import REGISTRY_FILTER, registry_route
 from fleetskein.streaming import sinks
+from fleetskein.streaming.control import _last_state
 
 
 def start_alerts(
@@ -65,20 +66,50 @@ def read_latest_state(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("node_id").agg(F.max_by(row, "batch_id").alias("row")).select("node_id", "row.*")
 
 
-def start_sensors(raw: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Sensor dumps to ledger-shaped rows and to long metrics.
+#: Sensors whose texts give a reading together with others of the same capture.
+JOINED = ("hailo_scan", "hailo_temp", "hailo_power", "loadavg", "meminfo")
 
-    The texts of one capture belong in one micro-batch: a collector publishes them together.
+
+def start_sensors(raw: DataFrame, root: str, checkpoint: str, every: str | None = None, lateness: str = "1 hour") -> StreamingQuery:
+    """Sensor dumps to ledger-shaped rows and to long metrics; ``read_sensors`` gives what holds.
+
+    The texts of one capture may come in several micro-batches. Those of joined sensors are kept in a table written
+    with each batch until their node has sent texts captured ``lateness`` later; when another text of the capture
+    arrives, its rows are written anew and the earlier ones as withdrawn.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        readings = sensors.normalise(batch.persist()).persist()
+        batch = batch.persist()
+        parts = batch.filter(F.col("sensor").isin(*JOINED))
+        held = _last_state(batch.sparkSession, root, batch_id)
+        held = parts.limit(0) if held is None else held
+        touched = parts.select(F.col("node_id").alias("_node"), F.col("captured_at").alias("_at")).distinct()
+        same = F.col("node_id").eqNullSafe(F.col("_node")) & F.col("captured_at").eqNullSafe(F.col("_at"))
+        again = held.join(touched, same, "left_semi").persist()
+        readings = sensors.normalise(batch.unionByName(again)).persist()
+        withdrawn = sensors.normalise(again).persist()
         try:
-            sinks.write_part(sensors.as_ledger(readings), root, "readings", batch_id)
-            sinks.write_part(sensors.as_metrics(readings), root, "metrics", batch_id)
+            for rows, prefix in ((readings, ""), (withdrawn, "withdrawn_")):
+                sinks.write_part(sensors.as_ledger(rows), root, f"{prefix}readings", batch_id)
+                sinks.write_part(sensors.as_metrics(rows), root, f"{prefix}metrics", batch_id)
+            texts = held.unionByName(parts)
+            newest = texts.groupBy(F.col("node_id").alias("_node")).agg(F.max("captured_at").alias("_newest"))
+            recent = F.col("node_id").eqNullSafe(F.col("_node")) & (F.col("captured_at") >= F.col("_newest") - F.expr(f"INTERVAL {lateness}"))
+            sinks.write_part(texts.join(newest, recent, "left_semi"), root, "state", batch_id)
             sinks.commit(batch.sparkSession, root, batch_id)
         finally:
-            readings.unpersist()
-            batch.unpersist()
+            for table in (withdrawn, readings, again, batch):
+                table.unpersist()
 
     return sinks.start(raw.writeStream.foreachBatch(save), checkpoint, every)
+
+
+def read_sensors(spark: SparkSession, root: str, table: str = "metrics") -> DataFrame:
+    """Rows of ``readings`` or ``metrics`` in complete batches, without those that were withdrawn later."""
+
+    def rows(name: str) -> DataFrame:
+        found = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+        return found.join(sinks.commits(spark, root), "batch_id", "left_semi").drop("batch_id")
+
+    # Every withdrawn row was written once before.
+    return rows(table).exceptAll(rows(f"withdrawn_{table}"))

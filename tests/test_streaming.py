@@ -137,3 +137,26 @@ def test_sensors(spark, fx, tmp_path):
     got = spark.read.parquet(f"{root}/metrics").drop("batch_id")
     same(got, sensors.as_metrics(sensors.normalise(rows)))
     assert spark.read.parquet(f"{root}/readings").count() == sensors.normalise(rows).count()
+
+
+def test_sensor_captures_split_over_files(spark, tmp_path):
+    """A load average without its memory total and a temperature without its scan come first."""
+    schema = "raw_id long, node_id string, sensor string, device string, captured_at string, raw string"
+    scan = "Hailo Devices:\n[-] Device 0000:01:00.0"
+    texts = [
+        (1, "n", "loadavg", None, "2025-01-01 00:00:00", "0.5 0.4 0.3 1/100 7"),
+        (2, "n", "hailo_temp", "0000:01:00.0", "2025-01-01 00:00:00", "41.5 C"),
+        (3, "n", "loadavg", None, "2025-01-01 00:00:10", "0.7 0.4 0.3 1/100 7"),
+        (4, "n", "meminfo", None, "2025-01-01 00:00:00", "MemTotal:  2048 kB"),
+        (5, "n", "hailo_scan", None, "2025-01-01 00:00:00", scan),
+        (6, "n", "hailo_power", "0000:01:00.0", "2025-01-01 00:00:00", "3.5 W"),
+    ]
+    rows = spark.createDataFrame(texts, schema).withColumn("captured_at", F.col("captured_at").cast("timestamp")).cache()
+    root, expected = str(tmp_path / "out"), sensors.normalise(rows)
+    path = in_files(rows, tmp_path / "in", "raw_id", 2)
+    stream = messages.stream_messages(spark, path, schema=schemas.RAW_SENSOR, max_files_per_trigger=1)
+    live.start_sensors(stream, root, str(tmp_path / "cp")).awaitTermination()
+    metrics = live.read_sensors(spark, root)
+    same(metrics, sensors.as_metrics(expected))
+    assert metrics.filter("component LIKE 'hailo%'").count() >= 2 and metrics.filter("component = 'host-os'").count() == 3
+    same(live.read_sensors(spark, root, "readings"), sensors.as_ledger(expected))
