@@ -24,6 +24,7 @@ SENTENCE = re.compile(r"[^\n]*?(?:[.!?…。！？]+[\"'”’»)\]]*(?:[^\S\n]+
 SENTENCES, WORDS = 2, 24
 #: ... or is one sentence of so many words.
 LONE_WORDS = 40
+RESULTS = ("n_sentences", "n_removed", "removed")
 
 
 def sentence_starts(text: str) -> list[int]:
@@ -70,37 +71,32 @@ def _runs(sentences: int, least_words: int, lone_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             row, first, size, h1, h2 = sentence_runs(block.column("text").to_pylist(), sentences, least_words, lone_words)
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").take(pa.array(row)), pa.array(first), pa.array(size), pa.array(h1), pa.array(h2)], names=["doc_id", "first", "size", "h1", "h2"]
-            )
+            own = [block.column(c).take(pa.array(row)) for c in ("doc_id", "content")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(first), pa.array(size), pa.array(h1), pa.array(h2)], names=["doc_id", "content", "first", "size", "h1", "h2"])
 
     return run
 
 
-def _cut(names: list[str]):
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow task: texts with the sentence ranges to remove."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            texts, total, removed, spans = [], [], [], []
-            for text, cover in zip(block.column("text").to_pylist(), block.column("_cover").to_pylist(), strict=True):
-                starts = sentence_starts(text or "")
-                total.append(len(starts))
-                gone = np.zeros(len(starts) + 1, np.int64)
-                for c in cover or []:
-                    gone[c["first"]] += 1
-                    gone[min(c["first"] + c["size"], len(starts))] -= 1
-                drop = np.cumsum(gone[:-1]) > 0
-                removed.append(int(drop.sum()))
-                bounds = [*starts, len(text or "")]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]])))
-                spans.append([{"start": bounds[a], "end": bounds[b]} for a, b in edge.reshape(-1, 2).tolist()])
-                texts.append(text if not drop.any() else "".join(text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~drop)))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = [block.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "text", "n_sentences", "n_removed", "removed"])
-
-    return run
+    for block in blocks(batches):
+        texts, total, removed, spans = [], [], [], []
+        for text, cover in zip(block.column("text").to_pylist(), block.column("cover").to_pylist(), strict=True):
+            starts = sentence_starts(text or "")
+            total.append(len(starts))
+            gone = np.zeros(len(starts) + 1, np.int64)
+            for c in cover or []:
+                gone[c["first"]] += 1
+                gone[min(c["first"] + c["size"], len(starts))] -= 1
+            drop = np.cumsum(gone[:-1]) > 0
+            removed.append(int(drop.sum()))
+            bounds = [*starts, len(text or "")]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]])))
+            spans.append([{"start": bounds[a], "end": bounds[b]} for a, b in edge.reshape(-1, 2).tolist()])
+            texts.append(text if not drop.any() else "".join(text[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(~drop)))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        columns = [block.column("doc_id"), block.column("others"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "others", "text", "n_sentences", "n_removed", "removed"])
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int = WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
@@ -108,24 +104,31 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int
 
     A run has at least ``sentences`` sentences and ``least_words`` words, or is one sentence of ``lone_words``
     words; runs are equal if their words are (A-Z lower-cased, spaces not regarded). The first occurrence, by
-    (doc_id, position), stays; null ids come last. Rows that repeat a doc_id count as one document, so
-    equal rows keep the same text. Offsets in ``removed`` are code points of the given text. Null text
-    stays null, all other columns stay; columns named like the three results are replaced.
+    (doc_id, hash of the text, position), stays; null ids come last. Rows of one doc_id with different texts are
+    different documents, and so are rows without an id; rows that are equal in both count as one document and keep
+    the same text. Offsets in ``removed`` are code points of the given text. Null text stays null, all other
+    columns stay, whatever their names; columns named like the three results are replaced.
     """
-    given = docs.drop("n_sentences", "n_removed", "removed")
+    given = docs.drop(*RESULTS)
+    others = [c for c in given.columns if c not in ("doc_id", "text")]
+    spare = "_" * (1 + max(map(len, given.columns)))
+    # The caller's columns travel as one struct, so that no name can clash with the operator's own.
+    packed = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("boolean").alias(spare)).alias("others")
+    flat = given.select("doc_id", "text", packed, F.xxhash64("text").alias("content"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    found = given.select("doc_id", "text").mapInArrow(_runs(sentences, least_words, lone_words), f"doc_id {kind}, first int, size int, h1 long, h2 long")
+    found = flat.select("doc_id", "text", "content").mapInArrow(
+        _runs(sentences, least_words, lone_words), f"doc_id {kind}, content long, first int, size int, h1 long, h2 long"
+    )
     with passing():
-        runs = written(found.withColumn("_none", F.col("doc_id").isNull()), "runs")
-        place = F.struct("_none", "doc_id", "first")
+        runs = written(found, "runs")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "first")
         firsts = runs.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.count("*").alias("times")).where("times > 1")
         again = runs.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("origin")))
         # Bounded by one document's sentences.
-        cover = again.groupBy("doc_id").agg(F.collect_set(F.struct("first", "size")).alias("_cover"))
-        cover = written(cover.select(F.col("doc_id").alias("_doc"), "_cover"), "cover", keep=True)
-    names = [c for c in given.columns if c != "text"]
+        cover = again.groupBy("doc_id", "content").agg(F.collect_set(F.struct("first", "size")).alias("cover"))
+        cover = written(cover.withColumnsRenamed({"doc_id": "of_doc", "content": "of_content"}), "cover", keep=True)
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("content") == F.col("of_content"))
+    joined = flat.join(cover, same, "left").select("doc_id", "text", "others", "cover")
     results = T.StructType.fromDDL("text string, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>")
-    schema = T.StructType([*(given.schema[c] for c in names), *results])
-    joined = given.join(cover, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    out = joined.mapInArrow(_cut(names), schema)
-    return out.select(*given.columns, "n_sentences", "n_removed", "removed")
+    out = joined.mapInArrow(_cut, T.StructType([flat.schema["doc_id"], flat.schema["others"], *results]))
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in given.columns], *RESULTS)

@@ -230,9 +230,10 @@ def test_sentence_spans(spark, texts):
         w = [WORD.findall(low(t[a:b])) for a, b in zip(at, at[1:], strict=False)]
         assert "".join(t[a:b] for a, b in zip(at, at[1:], strict=False)) == t
         for a in range(len(w)):
-            b = a + 1 if len(w[a]) >= 40 else next((b for b in range(a + 2, len(w) + 1) if sum(map(len, w[a:b])) >= 24), None)
-            if b and w[a] and first.setdefault(tuple(x for s in w[a:b] for x in s), (i, a)) != (i, a):
-                removed[i] |= set(range(a, b))
+            several = next((b for b in range(a + 2, len(w) + 1) if sum(map(len, w[a:b])) >= 24), None)
+            for b in {several if w[a] else None, a + 1 if len(w[a]) >= 40 else None} - {None}:
+                if first.setdefault(tuple(x for s in w[a:b] for x in s), (i, a)) != (i, a):
+                    removed[i] |= set(range(a, b))
     rows = found(spark, "op8_sentence_spans")
     assert {r.doc_id: r.n_removed for r in rows if r.n_removed} == {i: len(s) for i, s in removed.items()} and removed
     for r in rows:
@@ -253,6 +254,19 @@ def test_repeated_passage_that_begins_with_a_long_sentence(spark):
     assert rows[2].text == sentence("u", 30) + sentence("v", 30) and rows[3].text == sentence("s", 30)
 
 
+def test_sentence_spans_of_rows_that_share_an_id(spark):
+    """Ranges found in one row are cut from that row only, with equal ids, without ids and with the operator's own names."""
+    sentence = lambda name, n: " ".join(f"{name}{k}" for k in range(n)) + ". "
+    passage = sentence("p", 30) + sentence("q", 30)
+    alone = "".join(sentence(f"own{k}x", 20) for k in range(4))
+    for other in (None, 2):
+        texts = [(1, sentence("x", 30) + passage + sentence("y", 30)), (other, sentence("u", 30) + passage + sentence("v", 30)), (other, alone)]
+        docs = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in texts], "doc_id long, text string, cover int, others int, _doc int")
+        rows = {r.text: r for r in sentence_spans.remove_repeats(docs).collect()}
+        assert set(rows) == {texts[0][1], sentence("u", 30) + sentence("v", 30), alone}
+        assert all((r.cover, r.others, r["_doc"]) == (5, 6, 7) for r in rows.values()) and rows[alone].n_removed == 0
+
+
 def test_quality(spark, texts):
     for r in found(spark, "op10_quality_lines"):
         t = texts[r.doc_id]
