@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetskein.llm import bpe_duckdb, katz, langid, minhash_oph, perspectives, quality_lines, retrieval_packing, secrets_crf, sentence_spans, topk_svd
+from fleetskein.llm import bpe_duckdb, collocations, katz, langid, minhash_oph, perspectives, quality_lines, retrieval_packing, secrets_crf, sentence_spans, topk_svd
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -67,6 +67,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perspectives": op1,
     "op2_katz": op2,
@@ -78,8 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_spans": op8,
     "op9_topk": op9,
     "op10_quality_lines": op10,
+    "op11_collocations": op11,
 }
 STATEMENTS: dict[str, str] = {
     "op1_perspectives": perspectives.SQL,
     "op9_topk": topk_svd.SQL,
+    "op11_collocations": collocations.SQL,
 }
