@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetskein.llm import bpe_duckdb, collocations, katz, langid, lexical_search, minhash_oph, perspectives, quality_lines, retrieval_packing, secrets_crf, sentence_spans, topk_svd
+from fleetskein.llm import bpe_duckdb, collocations, katz, langid, lexical_search, license_scan, minhash_oph, perspectives, quality_lines, retrieval_packing, secrets_crf, sentence_spans, topk_svd
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -71,6 +71,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.digest(table(spark, folder, "documents"))
+
+
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -87,11 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9,
     "op10_quality_lines": op10,
     "op11_collocations": op11,
+    "op12_license_scan": op12,
     "op13_lexical_search": op13,
 }
 STATEMENTS: dict[str, str] = {
     "op1_perspectives": perspectives.SQL,
     "op9_topk": topk_svd.SQL,
     "op11_collocations": collocations.SQL,
+    "op12_license_scan": license_scan.SQL,
     "op13_lexical_search": lexical_search.SQL,
 }
