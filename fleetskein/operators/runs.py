@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetskein.functions import times
 from fleetskein.functions.times import slot_of
@@ -78,6 +78,57 @@ def telemetry_in_runs(ledger: DataFrame, run_rows: DataFrame, slot_seconds: int
     return rows.join(spans, ["node_id", "slot"]).filter(inside).drop("slot")
 
 
+def run_spans(ledger: DataFrame) -> DataFrame:
+    """Every run start with its end: ``node_id, event_id, run_id, start_time, planned_end, end_time, lasted_sec, state``.
+
+    The end is the first ``runner-end`` of the same node and run id at or after the start. ``state`` is ``ended``, or
+    ``open`` where there is none; ``lasted_sec`` is null then. Starts and ends without a run id stay apart.
+    """
+    starts = runs(ledger).withColumnRenamed("end_time", "planned_end")
+    later = starts.join(run_ends(ledger), ["node_id", "run_id"]).filter(F.col("end_time") >= F.col("start_time"))
+    first = later.groupBy("node_id", "event_id").agg(F.min("end_time").alias("end_time"))
+    return with_state(starts.join(first, ["node_id", "event_id"], "left"))
+
+
+def run_ends(ledger: DataFrame) -> DataFrame:
+    return with_status(ledger, RUN_END).select(
+        "node_id", json_bigint(F.col("metrics"), "run_id").alias("run_id"), F.col("event_timestamp").alias("end_time")
+    )
+
+
+def with_state(spans: DataFrame) -> DataFrame:
+    lasted = times.micros_between(F.col("start_time"), F.col("end_time")) / F.lit(1_000_000.0)
+    return spans.select(
+        "node_id", "event_id", "run_id", "start_time", "planned_end", "end_time", lasted.alias("lasted_sec"),
+        F.when(F.col("end_time").isNull(), "open").otherwise("ended").alias("state"),
+    )
+
+
+def telemetry_of_current_run(ledger: DataFrame, slot_seconds: int = 3600) -> DataFrame:
+    """Ledger rows with the run they fall in, each at most once: the last start at or before the row, if it is still on.
+
+    Unlike ``telemetry_in_runs``, where every overlapping run gets the row, a new run takes over from the one
+    before. The last start is carried forward in two steps: within (node, slot), and from slot to slot, where a
+    node has one row per slot; so a node with much of the ledger spreads over its slots, and a run that claims
+    years costs no more than another. Starts at one time: the larger ``event_id``. Starts without an interval don't count.
+    """
+    rows = not_run_markers(ledger).select("node_id", "event_id", "component", "event_timestamp")
+    starts = runs(ledger).filter(F.col("end_time").isNotNull())
+    start = F.struct("start_time", F.col("event_id").alias("start_id"), "run_id", "end_time")
+    at_start = starts.select("node_id", F.col("start_time").alias("event_timestamp"), F.col("event_id").alias("start_order"), start.alias("start"))
+    both = rows.unionByName(at_start, allowMissingColumns=True).withColumn("slot", slot_of(F.col("event_timestamp"), slot_seconds))
+    here = ["node_id", "slot"]
+    # Starts come before rows of the same time, in the order of their ids.
+    upto = Window.partitionBy(*here).orderBy("event_timestamp", F.col("start_order").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    in_slot = both.withColumn("inner", F.last("start", ignorenulls=True).over(upto)).filter(F.col("start").isNull())
+    slots = both.groupBy(*here).agg(F.max("start").alias("newest"))
+    earlier = Window.partitionBy("node_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.withColumn("outer", F.last("newest", ignorenulls=True).over(earlier)).select(*here, "outer")
+    run = F.coalesce(F.col("inner"), F.col("outer"))
+    found = in_slot.join(carried, here).withColumn("run", run).filter(F.col("event_timestamp") <= F.col("run.end_time"))
+    return found.select("node_id", "run.run_id", "event_id", "component", "event_timestamp")
+
+
 def latest_run_telemetry(ledger: DataFrame, slot_seconds: int = 3600) -> DataFrame:
     """Telemetry of the newest run of every node, each row with its printed line."""
     rows = telemetry_in_runs(ledger, latest_runs(ledger), slot_seconds)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetskein.functions import topics, values
 from fleetskein.operators import (
-    alerts, artifacts, control, events, filters, latest, lineage, runs, sensors, silence, status, unload, views,
+    alerts, artifacts, control, events, filters, latest, lineage, redelivery, runs, sensors, silence, status, unload, views,
 )
 from fleetskein.sources import decode, messages
 from fleetskein.sources.fixtures import Fixtures
@@ -129,6 +129,19 @@ def all_run_telemetry(fx: Fixtures) -> DataFrame:
     return runs.all_run_telemetry(fx.ledger())
 
 
+def current_run_telemetry(fx: Fixtures) -> DataFrame:
+    return runs.telemetry_of_current_run(fx.ledger())
+
+
+def run_spans(fx: Fixtures) -> DataFrame:
+    return runs.run_spans(fx.run_marks())
+
+
+def run_marks(fx: Fixtures) -> DataFrame:
+    """Start and end events with their target flags."""
+    return runs.run_events(fx.run_marks()).withColumn("duration_sec", F.col("duration_sec").cast("double"))
+
+
 def control_log(fx: Fixtures) -> DataFrame:
     return control.replay(fx.control_messages(), ["benchmark"])
 
@@ -165,6 +178,14 @@ def compacted_artifacts(fx: Fixtures) -> DataFrame:
     return artifacts.compact(fx.artifact_log())
 
 
+def merged_artifacts(fx: Fixtures) -> DataFrame:
+    """The log in three parts, folded apart and merged in another order than they were written in."""
+    log = fx.artifact_log()
+    parts = [artifacts.snapshot(log.filter(F.col("seq") % 3 == k)) for k in (2, 0, 1)]
+    merged = artifacts.merge(artifacts.merge(*parts[:2]), parts[2])
+    return _plain_times(artifacts.current(merged))
+
+
 # Messages
 
 def _decoded(fx: Fixtures) -> DataFrame:
@@ -193,6 +214,10 @@ def ingest_ledger(fx: Fixtures) -> DataFrame:
     ))
 
 
+def first_deliveries(fx: Fixtures) -> DataFrame:
+    return redelivery.first_deliveries(fx.redelivered())
+
+
 def ingest_quarantine(fx: Fixtures) -> DataFrame:
     return _plain_times(decode.quarantine(_decoded(fx)))
 
@@ -296,8 +321,8 @@ QUESTIONS: dict[str, Callable[[Fixtures], DataFrame]] = {
         cluster_status, node_list, node_states, degraded_report, offline_nodes, last_seen, silent_gaps,
         activity_sessions, latest_n, latest_of_node, hot_metrics_text, hot_metrics_number, degraded_rows,
         unload_filtered, unload_default, unload_matching, run_starts, run_events, latest_runs,
-        latest_run_telemetry, latest_run_counts, all_run_telemetry, control_log, control_validated,
-        lineage_edges, lineage_default_depth, lineage_artifacts, lineage_of_suppliers, compacted_artifacts,
+        latest_run_telemetry, latest_run_counts, all_run_telemetry, current_run_telemetry, run_spans, run_marks, control_log, control_validated,
+        lineage_edges, lineage_default_depth, lineage_artifacts, lineage_of_suppliers, compacted_artifacts, merged_artifacts, first_deliveries,
         topic_routes, ingest_ledger, ingest_quarantine, ingest_artifacts, ingest_traces, registry_alerts,
         built_events, built_traces, view_query, view_maps, ask_telemetry, ask_benchmark, ask_offline,
     )

@@ -17,6 +17,8 @@ _TABLES = {
     "ledger": fixtures.LEDGER,
     "now": "SELECT max(event_timestamp) AS as_of FROM ledger",
     "msgs": fixtures.MESSAGES,
+    "redelivered": fixtures.REDELIVERED.format(**{f"later_{i}": fixtures.DUCKDB_LATER.format(n=n) for i, n in enumerate(fixtures.REDELIVERY_DELAYS, 1)}),
+    "run_marks": fixtures.RUN_MARKS.format(**{f"end_{i}": f"ts + to_seconds({n})" for i, n in enumerate(fixtures.RUN_LENGTHS, 1)}),
     "registry": fixtures.REGISTRY_MESSAGES,
     "control": fixtures.CONTROL_MESSAGES,
     "artifact_log": fixtures.ARTIFACT_LOG,
@@ -433,6 +435,24 @@ def statements() -> dict[str, str]:
               json_extract_string(doc, '$.metrics.temperature_c')::double AS temperature_c,
               json_extract_string(doc, '$.metrics.run_id')::bigint AS run_id
             FROM good"""),
+        "current_run_telemetry": _with("base ledger", _RUNS + """
+            SELECT t.node_id, r.run_id, t.event_id, t.component, t.event_timestamp FROM ledger t JOIN runs r
+              ON r.node_id = t.node_id AND r.start_time <= t.event_timestamp WHERE t.component <> 'runner:benchmark' AND r.end_time IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY t.event_id ORDER BY r.start_time DESC, r.event_id DESC) = 1 AND r.end_time >= t.event_timestamp"""),
+        "run_spans": _with("base run_marks", """, marks AS (
+              SELECT *, json_extract_string(metrics, '$.run_id')::bigint AS run_id, json_extract_string(metrics, '$.duration_sec')::double AS d FROM run_marks)
+            SELECT s.node_id, s.event_id, s.run_id, s.event_timestamp AS start_time, s.event_timestamp + to_seconds(s.d) AS planned_end,
+              min(e.event_timestamp) AS end_time, (epoch_us(min(e.event_timestamp)) - epoch_us(s.event_timestamp)) / 1000000.0 AS lasted_sec,
+              CASE WHEN count(e.event_id) = 0 THEN 'open' ELSE 'ended' END AS state
+            FROM marks s LEFT JOIN marks e ON e.status = 'runner-end' AND e.node_id = s.node_id AND e.run_id = s.run_id AND e.event_timestamp >= s.event_timestamp
+            WHERE s.status = 'runner-start' GROUP BY s.node_id, s.event_id, s.run_id, s.event_timestamp, s.d"""),
+        "run_marks": _with("base run_marks", """
+            SELECT node_id, event_id, status, json_extract_string(metrics, '$.run_id')::bigint AS run_id, json_extract_string(metrics, '$.duration_sec')::double AS duration_sec,
+              json_extract_string(metrics, '$.target_system') = 'true' AS target_system, json_extract_string(metrics, '$.target_npu') = 'true' AS target_npu,
+              json_extract_string(metrics, '$.target_gpu') = 'true' AS target_gpu, event_timestamp FROM run_marks"""),
+        "first_deliveries": _with("base msgs redelivered", """
+            SELECT msg_id, topic, payload, received_at FROM redelivered
+            QUALIFY coalesce(received_at - lag(received_at) OVER (PARTITION BY topic, payload ORDER BY received_at, msg_id) > INTERVAL 1 HOUR, true)"""),
         "ingest_quarantine": _with("base msgs", _DOCS + """
             SELECT msg_id, topic, payload, received_at, reason FROM decoded WHERE reason IS NOT NULL"""),
         "ingest_artifacts": _with("base msgs", _DOCS + f""", log AS (
@@ -490,5 +510,6 @@ def statements() -> dict[str, str]:
         "sensor_all": _sensor_all(),
         "sensor_ledger": _sensor_ledger(),
     }
+    sql["merged_artifacts"] = sql["compacted_artifacts"]
     sql |= {f"sensor_{name}": _sensor(name) for name in _SENSORS}
     return sql

@@ -77,6 +77,31 @@ SELECT event_id AS msg_id,
 FROM base
 """
 
+# Every message with its redeliveries, some minutes later and, for one in ten, again after the time that counts.
+REDELIVERED = """
+SELECT msg_id, topic, payload, received_at FROM msgs
+UNION ALL SELECT msg_id + 1000000000, topic, payload, {later_1} FROM msgs
+UNION ALL SELECT msg_id + 2000000000, topic, payload, {later_2} FROM msgs WHERE msg_id % 10 = 0
+"""
+SPARK_LATER = "received_at + make_dt_interval(0, 0, 0, {n})"
+DUCKDB_LATER = "received_at + to_seconds({n})"
+REDELIVERY_DELAYS = ("1 + msg_id % 900", "9000 + msg_id % 900")
+
+# Start and end events of runs: every third run stays open, one in seven ends twice, some ends belong to no run.
+RUN_MARKS = """
+SELECT event_id, node_id, 'runner:benchmark' AS component, 'runner-start' AS status, ts AS event_timestamp,
+  '{{"run_id":' || cast(1700000000000000000 + event_id as string) || ',"duration_sec":' || cast(k * 60 as string) || ',"target_system":' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END
+  || ',"target_npu":' || CASE WHEN k % 3 = 0 THEN 'true' ELSE '"yes"' END || CASE WHEN k % 5 = 0 THEN '' ELSE ',"target_gpu":true' END || '}}' AS metrics
+FROM base WHERE event_type = 'signup'
+UNION ALL SELECT event_id + 1000000000, node_id, 'runner:benchmark', 'runner-end', {end_1},
+  '{{"run_id":' || cast(1700000000000000000 + event_id as string) || '}}' FROM base WHERE event_type = 'signup' AND event_id % 3 <> 0
+UNION ALL SELECT event_id + 2000000000, node_id, 'runner:benchmark', 'runner-end', {end_2},
+  '{{"run_id":' || cast(1700000000000000000 + event_id as string) || '}}' FROM base WHERE event_type = 'signup' AND event_id % 7 = 0 AND event_id % 3 <> 0
+UNION ALL SELECT event_id + 3000000000, node_id, 'runner:benchmark', 'runner-end', ts, '{{"run_id":' || cast(event_id as string) || '}}'
+FROM base WHERE event_type = 'error'
+"""
+RUN_LENGTHS = ("k * 31 + 0.25", "k * 31 + 7200")
+
 REGISTRY_MESSAGES = """
 SELECT event_id AS msg_id,
   CASE WHEN event_type = 'purchase' THEN 'fleet/v1/registry/agent-' || node_id || '/status'
@@ -192,6 +217,14 @@ class Fixtures:
     def messages(self) -> DataFrame:
         return self._derive(MESSAGES)
 
+    def redelivered(self) -> DataFrame:
+        later = [SPARK_LATER.format(n=n) for n in REDELIVERY_DELAYS]
+        return self._derive(f", msgs AS ({MESSAGES}) {REDELIVERED.format(later_1=later[0], later_2=later[1])}")
+
+    def run_marks(self) -> DataFrame:
+        ends = [SPARK_LATER.format(n=n).replace("received_at", "ts") for n in RUN_LENGTHS]
+        return self._derive(RUN_MARKS.format(end_1=ends[0], end_2=ends[1]))
+
     def registry_messages(self) -> DataFrame:
         return self._derive(REGISTRY_MESSAGES)
 

@@ -19,9 +19,32 @@ def write_part(df: DataFrame, root: str, table: str, batch_id: int, partition_by
     writer.parquet(f"{root}/{table}/batch_id={batch_id}")
 
 
-def commit(spark: SparkSession, root: str, batch_id: int) -> None:
+def mark(spark: SparkSession, folder: str, batch_id: int) -> None:
     marker = spark.range(1).select(F.lit(True).alias("done"))
-    marker.coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/batch_id={batch_id}")
+    marker.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+
+def commit(spark: SparkSession, root: str, batch_id: int) -> None:
+    mark(spark, f"{root}/commits", batch_id)
+
+
+def newest_marker(spark: SparkSession, folder: str) -> int | None:
+    """The largest batch number marked in a folder; None without the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    schema = StructType().add("done", "boolean").add("batch_id", LongType())
+    return spark.read.schema(schema).parquet(folder).agg(F.max("batch_id")).first()[0]
+
+
+def forget(spark: SparkSession, root: str, table: str, before: int) -> None:
+    """Delete the folders of batches before ``before``; they are listed by name, not read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(place) if files.exists(place) else []:
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) < before:
+            files.delete(status.getPath(), True)
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
