@@ -25,4 +25,4 @@ def first_deliveries(messages: DataFrame, within_seconds: int = 3600) -> DataFra
     pause = F.col("_first") - before > times.seconds(within_seconds)
     chains = slots.withColumn("_new", F.coalesce(pause, F.lit(True))).filter("_new").select(*key, F.col("_first").alias("received_at"))
     heads = keyed.join(chains, [*key, "received_at"], "left_semi").groupBy(*key, "received_at").agg(F.min("msg_id").alias("msg_id"))
-    return keyed.join(heads, [*key, "received_at", "msg_id"], "left_semi").drop(*key)
+    return keyed.join(heads, [*key, "received_at", "msg_id"], "left_semi").select(*messages.columns)
