@@ -23,7 +23,10 @@ BOILERPLATE = (
     "enable javascript|javascript is (disabled|required)|lorem ipsum|powered by|copyright (©|\\(c\\))|"
     "licensed under|permission is hereby granted|without warrant(y|ies) of any kind)"
 )
+#: Texts without any of these, lower-cased, hold no boilerplate.
+STEMS = ("reserved", "terms of", "policy", "cookies", "javascript", "lorem", "powered by", "copyright", "licensed", "hereby", "warrant")
 SYMBOLS = "#*$%&|<>"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
@@ -36,16 +39,25 @@ def n_words(text: Column) -> Column:
     return F.when(F.length(plain) == 0, F.lit(0)).otherwise(F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).cast("long")
 
 
-def line_fails(line: Column, max_separators: int = 3, max_symbol_share: float = 0.15, min_open_words: int = 4) -> Column:
-    """True for a line that one of the three rules removes. Lines without a word never fail."""
-    size = F.length(F.regexp_replace(line, SPACE, ""))
-    words = F.length(F.regexp_replace(F.regexp_replace(line, NOT_SPACE_RUN, ""), SPACE, " ")) + 1
-    symbols = size - F.length(F.translate(F.regexp_replace(line, SPACE, ""), SYMBOLS, ""))
-    separators = F.length(line) - F.length(F.regexp_replace(line, SEPARATOR, ""))
-    bare = F.regexp_replace(line, SPACE + "$", "")
-    punctuation = ((~bare.rlike(END)) & (words < min_open_words)) | (symbols > size * max_symbol_share)
-    navigation = (separators >= max_separators) | F.regexp_replace(bare, "^" + SPACE, "").rlike(NAVIGATION)
-    return (size > 0) & (punctuation | navigation | line.rlike(BOILERPLATE))
+def line_fails(line: Column, boilerplate: Column, max_separators: int = 3, max_symbol_share: float = 0.15, min_open_words: int = 4) -> Column:
+    """True for a line that one of the three rules removes. Lines without a word never fail.
+
+    An open line (without an end mark) of few words, many symbols, navigation, or, where the text may hold any (``boilerplate``), a
+    boilerplate phrase. Cheap conditions stand first.
+    """
+    bare = F.trim(line, F.lit(BLANKS))
+    symbols = F.regexp_count(line, F.lit(f"[{SYMBOLS}]"))
+    size = F.length(F.regexp_replace(bare, SPACE, ""))
+    open_line = ~F.right(bare, F.lit(1)).rlike(END) & (F.regexp_count(bare, F.lit(NOT_SPACE_RUN + "+")) < min_open_words)
+    many_symbols = (symbols > 0) & (symbols > size * max_symbol_share)
+    navigation = (F.regexp_count(line, F.lit(SEPARATOR)) >= max_separators) | bare.rlike(NAVIGATION)
+    return (bare != "") & (open_line | many_symbols | navigation | (boilerplate & line.rlike(BOILERPLATE)))
+
+
+def may_hold_boilerplate(text: Column) -> Column:
+    """False for texts without any stem of the boilerplate phrases; one look at the text instead of one per line."""
+    stems = F.array(*[F.lit(s) for s in STEMS])
+    return F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.exists(stems, lambda s: F.contains(low, s))), 1)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,14 +72,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "_m",
         F.element_at(
             F.transform(
-                F.array(F.struct(words_of(whole).alias("w"), F.split(whole, "\n").alias("l"))),
+                F.array(F.struct(words_of(whole).alias("w"), F.split(whole, "\n").alias("l"), may_hold_boilerplate(whole).alias("b"))),
                 lambda s: F.struct(
                     F.size(s["w"]).cast("long").alias("n_words"),
                     F.length(blank).cast("long").alias("word_chars"),
-                    (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                    F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
                     _repeated_lines(s["l"]).alias("n_dup_lines"),
                     _repeated_words(s["w"]).alias("n_repeat_words"),
-                    F.array_join(F.filter(s["l"], lambda x: ~line_fails(x)), "\n").alias("cleaned"),
+                    F.array_join(F.filter(s["l"], lambda x: ~line_fails(x, s["b"])), "\n").alias("cleaned"),
                 ),
             ),
             1,
