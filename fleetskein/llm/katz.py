@@ -15,15 +15,17 @@ conditional distribution sums to one. A context that was never seen leaves the l
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetskein.llm.langid import held_out
 from fleetskein.llm.words import blocks, mixed, row_ids, words
-from fleetskein.session import written
+from fleetskein.session import discard, written
 
 #: Hashes that stand for the end and the start of a text.
 END, START = 0x1D8E4E27C47D124F, 0x7A1CE9B3D5F0A681
@@ -46,12 +48,19 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
+    """Values as byte planes side by side, compressed, behind their size; high planes that are zero throughout are left out."""
+    at = values.view(np.uint8).reshape(len(values), values.dtype.itemsize)
+    used = max([1, *(np.flatnonzero(at.any(axis=0)) + 1).tolist()])
+    data = np.ascontiguousarray(at[:, :used].T).tobytes()
+    return bytes([used]) + len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def unplanes(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    size = int.from_bytes(data[1:9], "little")
+    given = np.frombuffer(pa.decompress(data[9:], size, codec="zstd", asbytes=True), np.uint8).reshape(data[0], -1)
+    out = np.zeros((given.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, : len(given)] = given.T
+    return out.reshape(-1).view(kind)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,61 +199,62 @@ def discount(c: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(c <= TURING, table[np.minimum(c, TURING).astype(np.int64)], c / (c + 1.0))
 
 
-def _gathered(parts: list) -> np.ndarray:
-    """Answers of all partitions, in the order of the keys."""
-    return np.concatenate([unplanes(p["answer"], "<u8") for p in sorted(parts, key=lambda p: p["part"])])
+def _gathered(answers: pa.Table, what: int, kind: str) -> np.ndarray:
+    """Answers of all partitions to one sort of question, in the order of the keys."""
+    own = answers.filter(pc.equal(answers.column("what"), what)).sort_by("part")
+    return np.concatenate([np.zeros(0, kind), *(unplanes(x, kind) for x in own.column("answer").to_pylist())])
 
 
 def _evaluate(total: int, kinds: int, d: np.ndarray):
     """Per block: what is known without context weights, and what each context has given away."""
     bottom = total + ADD * (kinds + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                b = Block(row)
-                word = (_gathered(row["of_words"]) >> np.uint64(1)).astype(float)
-                answer = _gathered(row["of_bigrams"])
-                c, owner = (answer >> np.uint64(1)).astype(float), (answer & np.uint64(1)).astype(bool)
-                low = (word + ADD) / bottom
-                rows = len(b.n)
-                base = np.bincount(b.doc, weights=np.log10(low)[b.code], minlength=rows)
-                known = np.bincount(b.doc, weights=word[b.code] > 0, minlength=rows)
-                context = word[b.left]
-                seen = c > 0
-                p = np.where(seen, np.divide(discount(c, d) * c, context, out=np.ones_like(c), where=context > 0), low[b.right])
-                score = np.bincount(b.doc, weights=np.log10(p)[b.which], minlength=rows)
-                # What the block is first to hold counts for its context.
-                mine = owner & seen
-                gone = np.bincount(b.left[mine], weights=p[mine], minlength=len(b.words))
-                lower = np.bincount(b.left[mine], weights=low[b.right[mine]], minlength=len(b.words))
-                # Tokens that back off from a known context.
-                wait = ~seen & (context > 0)
-                token = np.flatnonzero(wait[b.which])
-                need = np.zeros(len(b.words), bool)
-                need[b.left[wait]] = True
-                ask = np.flatnonzero(need | (gone > 0))
-                where = np.full(len(b.words), -1)
-                where[np.flatnonzero(need)] = np.arange(need.sum())
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            "block": row["block"], "doc_ids": row["doc_ids"], "held": row["held"], "n_tokens": row["n_tokens"],
-                            "known": known.astype(np.int64).tolist(), "base": base.tolist(), "score": score.tolist(),
-                            "wait_doc": planes(b.doc[token].astype("<u4")), "wait_context": planes(where[b.left[b.which[token]]].astype("<u4")),
-                            "keys": packed(b.words[ask]), "gone": planes(gone[ask]), "lower": planes(lower[ask]), "need": need[ask].tobytes(),
-                        }
-                    ],
-                    schema=evaluated_schema(batch.schema.field("doc_ids").type),
-                )
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        b = Block(row)
+        word = (_gathered(answers, 0, "<u8") >> np.uint64(1)).astype(float)
+        answer = _gathered(answers, 1, "<u8")
+        c, owner = (answer >> np.uint64(1)).astype(float), (answer & np.uint64(1)).astype(bool)
+        low = (word + ADD) / bottom
+        rows = len(b.n)
+        base = np.bincount(b.doc, weights=np.log10(low)[b.code], minlength=rows)
+        known = np.bincount(b.doc, weights=word[b.code] > 0, minlength=rows)
+        context = word[b.left]
+        seen = c > 0
+        p = np.where(seen, np.divide(discount(c, d) * c, context, out=np.ones_like(c), where=context > 0), low[b.right])
+        score = np.bincount(b.doc, weights=np.log10(p)[b.which], minlength=rows)
+        # What the block is first to hold counts for its context.
+        mine = owner & seen
+        gone = np.bincount(b.left[mine], weights=p[mine], minlength=len(b.words))
+        # Lower-order mass as whole numbers, sums of counts and of followers: exact in any order, and small.
+        under = np.bincount(b.left[mine], weights=word[b.right[mine]], minlength=len(b.words)).astype("<u8")
+        after = np.bincount(b.left[mine], minlength=len(b.words)).astype("<u8")
+        # Tokens that back off from a known context.
+        wait = ~seen & (context > 0)
+        token = np.flatnonzero(wait[b.which])
+        need = np.zeros(len(b.words), bool)
+        need[b.left[wait]] = True
+        ask = np.flatnonzero(need | (gone > 0))
+        where = np.full(len(b.words), -1)
+        where[np.flatnonzero(need)] = np.arange(need.sum())
+        return pa.Table.from_pylist(
+            [
+                {
+                    "block": row["block"], "doc_ids": row["doc_ids"], "held": row["held"], "n_tokens": row["n_tokens"],
+                    "known": known.astype(np.int64).tolist(), "base": base.tolist(), "score": score.tolist(),
+                    "wait_doc": planes(b.doc[token].astype("<u4")), "wait_context": planes(where[b.left[b.which[token]]].astype("<u4")),
+                    "keys": packed(b.words[ask]), "gone": planes(gone[ask]), "under": planes(under[ask]), "after": planes(after[ask]), "need": need[ask].tobytes(),
+                }
+            ],
+            schema=evaluated_schema(block.schema.field("doc_ids").type),
+        )
 
     return run
 
 
 def evaluated_schema(ids: pa.DataType) -> pa.Schema:
     lists = [("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-    binary = ["wait_doc", "wait_context", "keys", "gone", "lower", "need"]
+    binary = ["wait_doc", "wait_context", "keys", "gone", "under", "after", "need"]
     return pa.schema(
         [("block", pa.int64()), ("doc_ids", ids), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64()))] + [(n, pa.list_(t)) for n, t in lists] + [(n, pa.binary()) for n in binary]
     )
@@ -253,52 +263,55 @@ def evaluated_schema(ids: pa.DataType) -> pa.Schema:
 def _ask_contexts(parts: int):
     def rows(row: dict) -> Iterator[dict]:
         need = np.frombuffer(row["need"], bool).astype("<u1")
-        return questions(row["block"], unpacked(row["keys"]), parts, unplanes(row["gone"], "<f8"), unplanes(row["lower"], "<f8"), need)
+        return questions(row["block"], unpacked(row["keys"]), parts, unplanes(row["gone"], "<f8"), unplanes(row["under"], "<u8"), unplanes(row["after"], "<u8"), need)
 
     return rows
 
 
-def _weigh(table: pa.Table) -> pa.Table:
+def _weigh(bottom: float):
     """Context weights: model rows (block -1), and for each block those it needs."""
-    keys = [unpacked(x) for x in table.column("keys").to_pylist()]
-    unique, which = np.unique(np.concatenate(keys), return_inverse=True)
-    gone, lower = (np.bincount(which, weights=np.concatenate([unplanes(x, "<f8") for x in table.column(v).to_pylist()]), minlength=len(unique)) for v in ("v0", "v1"))
-    weight = np.log10(np.maximum(1 - gone, 1e-300)) - np.log10(np.maximum(1 - lower, 1e-300))
-    need = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("v2").to_pylist()]).astype(bool)
-    cut = np.cumsum([0, *map(len, keys)])
-    answers = [planes(weight[which[a:b]][need[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    n, part = table.num_rows, table.column("part")[0].as_py()
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [unpacked(x) for x in table.column("keys").to_pylist()]
+        unique, which = np.unique(np.concatenate(keys), return_inverse=True)
+        given = (np.concatenate([unplanes(x, kind) for x in table.column(v).to_pylist()]) for v, kind in (("v0", "<f8"), ("v1", "<u8"), ("v2", "<u8")))
+        gone, under, after = (np.bincount(which, weights=x, minlength=len(unique)) for x in given)
+        lower = (under + ADD * after) / bottom
+        weight = np.log10(np.maximum(1 - gone, 1e-300)) - np.log10(np.maximum(1 - lower, 1e-300))
+        need = np.concatenate([unplanes(x, "<u1") for x in table.column("v3").to_pylist()]).astype(bool)
+        cut = np.cumsum([0, *map(len, keys)])
+        answers = [planes(weight[which[a:b]][need[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        n, part = table.num_rows, table.column("part")[0].as_py()
+        return pa.table(
+            {
+                "part": pa.array([part] * (n + 1), pa.int32()),
+                "block": pa.concat_arrays([table.column("block").combine_chunks().cast(pa.int64()), pa.array([-1], pa.int64())]),
+                "answer": pa.array([*answers, planes(weight)], pa.binary()),
+                "keys": pa.array([None] * n + [packed(unique)], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _finish(block: pa.Table, answers: pa.Table) -> pa.Table:
+    row = block.to_pylist()[0]
+    weight = _gathered(answers, 0, "<f8")
+    doc, context = unplanes(row["wait_doc"], "<u4"), unplanes(row["wait_context"], "<u4")
+    score = np.array(row["score"]) + np.bincount(doc, weights=weight[context], minlength=len(row["score"]))
     return pa.table(
         {
-            "part": pa.array([part] * (n + 1), pa.int32()),
-            "block": pa.concat_arrays([table.column("block").combine_chunks().cast(pa.int64()), pa.array([-1], pa.int64())]),
-            "answer": pa.array([*answers, planes(weight)], pa.binary()),
-            "keys": pa.array([None] * n + [packed(unique)], pa.binary()),
+            "doc_id": pa.array(row["doc_ids"], block.schema.field("doc_ids").type.value_type), "held_out": pa.array(row["held"], pa.bool_()),
+            "n_tokens": pa.array(row["n_tokens"], pa.int64()), "n_known": pa.array(row["known"], pa.int64()),
+            "base_score": pa.array(row["base"], pa.float64()), "score": pa.array(score, pa.float64()),
         }
-    )
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            weights = [unplanes(p["answer"], "<f8") for p in sorted(row["weights"] or [], key=lambda p: p["part"])]
-            weight = np.concatenate(weights) if weights else np.zeros(0)
-            doc, context = unplanes(row["wait_doc"], "<u4"), unplanes(row["wait_context"], "<u4")
-            score = np.array(row["score"]) + np.bincount(doc, weights=weight[context], minlength=len(row["score"]))
-            n = len(score)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(row["n_tokens"], pa.int64()),
-                    pa.array(row["known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(score[:n]),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+    )
 
 
-def _by_block(answers: DataFrame, name: str) -> DataFrame:
-    """All answers to a block in one row; bounded by the block's distinct entries."""
-    return answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "answer")).alias(name))
+def _meeting(blocks: DataFrame, *answers: DataFrame):
+    """Each block with its answers, sort by sort. Answers are sorted and streamed, one block's at a time is in memory."""
+    own = [a.where("block >= 0").select("block", F.lit(k).alias("what"), "part", "answer") for k, a in enumerate(answers)]
+    return blocks.groupBy("block").cogroup(reduce(DataFrame.unionAll, own).groupBy("block"))
 
 
 def score_texts(docs: DataFrame, folds: int = 10, part_entries: int = PART_ENTRIES) -> DataFrame:
@@ -307,12 +320,12 @@ def score_texts(docs: DataFrame, folds: int = 10, part_entries: int = PART_ENTRI
     Learns from rows whose crc32 of the id as text leaves another remainder than 0 by ``folds`` (null id: as
     the empty text, which is held out). Tokens: words, A-Z lower-cased, and one end per text; a null or empty text is the
     end alone. base_score uses the lowest order only. Without training rows N and V are 0. The
-    model stays in the shared folder as tables (part, keys, counts or weights), rows with block -1.
+    model stays in the shared folder as tables: word_counts and bigram_counts (part, keys, counts), weights (rows with block -1).
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), folds).alias("held"))
     kind = given.schema["doc_id"].dataType.simpleString()
     store = written(given.mapInArrow(_store, f"block long, doc_ids array<{kind}>, held array<boolean>, n_tokens array<long>, words binary, codes binary"), "blocks")
-    size = store.agg(F.sum(F.length("words") / 8).alias("words"), F.sum(F.length("codes") / 4).alias("tokens")).first()
+    size = store.agg(F.sum(F.length("words") / 8).alias("words"), F.sum(F.expr("aggregate(n_tokens, 0L, (a, n) -> a + n)")).alias("tokens")).first()
     parts = lambda n: max(8, int((n or 0) // part_entries) + 1)
     ask = lambda v: pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), *[(f"v{i}", pa.binary()) for i in range(v)]])
     asked = "part int, block long, keys binary, v0 binary"
@@ -326,14 +339,17 @@ def score_texts(docs: DataFrame, folds: int = 10, part_entries: int = PART_ENTRI
     times = of_bigrams.where("block = -1").agg(*[F.sum(F.col("times")[k]).alias(f"t{k}") for k in range(TURING + 2)]).first()
     d = discounts([x or 0 for x in times])
 
-    met = store.join(_by_block(of_words, "of_words"), "block").join(_by_block(of_bigrams, "of_bigrams"), "block")
     schema = (
         f"block long, doc_ids array<{kind}>, held array<boolean>, n_tokens array<long>, known array<long>, base array<double>, score array<double>, "
-        "wait_doc binary, wait_context binary, keys binary, gone binary, lower binary, need binary"
+        "wait_doc binary, wait_context binary, keys binary, gone binary, under binary, after binary, need binary"
     )
-    valued = written(met.mapInArrow(_evaluate(total, kinds, d), schema), "valued")
-    contexts = valued.select("block", "keys", "gone", "lower", "need").mapInArrow(_asking(_ask_contexts(parts(size["words"])), ask(3)), asked + ", v1 binary, v2 binary")
-    weights = written(contexts.groupBy("part").applyInArrow(_weigh, "part int, block long, answer binary, keys binary"), "weights")
-    last = valued.drop("keys", "gone", "lower", "need").join(_by_block(weights, "weights"), "block", "left")
-    out = last.mapInArrow(_finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    valued = written(_meeting(store, of_words, of_bigrams).applyInArrow(_evaluate(total, kinds, d), schema), "valued")
+    # The model stays; answers and blocks have been read for the last time.
+    for counts, label in ((of_words, "word_counts"), (of_bigrams, "bigram_counts")):
+        written(counts.where("block = -1").select("part", "keys", F.col("answer").alias("counts")), label, keep=True)
+    discard(store, of_words, of_bigrams)
+    contexts = valued.select("block", "keys", "gone", "under", "after", "need").mapInArrow(_asking(_ask_contexts(parts(size["words"])), ask(4)), asked + ", v1 binary, v2 binary, v3 binary")
+    weights = written(contexts.groupBy("part").applyInArrow(_weigh(total + ADD * (kinds + 1)), "part int, block long, answer binary, keys binary"), "weights")
+    last = _meeting(valued.drop("keys", "gone", "under", "after", "need"), weights)
+    out = last.applyInArrow(_finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
