@@ -15,6 +15,9 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: Fixed value: the pattern that cuts texts before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Fixed value: the special token of the 50k byte vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
+
 
 def vocabulary(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
@@ -45,7 +48,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval_packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
+    return retrieval_packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"), PATTERN, special=SPECIAL)
 
 
 def op7(spark: SparkSession, folder: str) -> DataFrame:

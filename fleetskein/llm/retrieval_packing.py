@@ -9,7 +9,7 @@ neighbours and cuts the last one, whose remainder seeds the next window.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +31,18 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _cut(path: str, pattern: str, window: int):
+def _cut(path: str, pattern: str, window: int, special: Mapping[str, int]):
     """Arrow task: texts -> full windows (ids null) and the rest of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encoding = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
+        encoding = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens=dict(special))
         for block in blocks(batches):
             out: list[tuple] = []
             row: list[int] = []
             for k, text in enumerate(block.column("text").to_pylist()):
-                ids = np.append(encoding.encode_to_numpy(text or "", disallowed_special=()), np.uint32(0)).astype(np.uint32, copy=False)
+                ids = np.append(encoding.encode_to_numpy(text or "", allowed_special="all"), np.uint32(0)).astype(np.uint32, copy=False)
                 whole = len(ids) // window * window
                 for at in range(0, whole, window):
                     out.append((at, window, crc(ids[at : at + window]), len(ids), 0, None))
@@ -155,15 +155,15 @@ def _pack(window: int, shard_size: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, shard_size: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, shard_size: int = SHARD, special: Mapping[str, int] | None = None) -> DataFrame:
     """Pieces in sequences of ``window`` tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``path`` is a rank file; a document is its ids and then id 0, so a null or empty text is one
+    ``path`` is a rank file, ``special`` names the ids of special tokens, whose text is one id wherever it stands; a document is its ids and then id 0, so a null or empty text is one
     token. Each id lies in one piece. Only the last sequence of a task can be short. Repeated
     rows and null ids are packed like others.
     """
     given = docs.select("doc_id", "text")
     kind = given.schema["doc_id"].dataType.simpleString()
-    cut = written(given.mapInArrow(_cut(path, pattern, window), f"doc_id {kind}, start long, length long, crc long, doc_tokens long, near long, ids binary"), "windows")
+    cut = written(given.mapInArrow(_cut(path, pattern, window, special or {}), f"doc_id {kind}, start long, length long, crc long, doc_tokens long, near long, ids binary"), "windows")
     near = cut.repartitionByRange("near", "doc_id", "start").sortWithinPartitions("near", "doc_id", "start")
     return near.mapInArrow(_pack(window, shard_size), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

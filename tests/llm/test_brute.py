@@ -134,7 +134,6 @@ def test_packing(spark, texts):
 
     rows = found(spark, "op6_packing")
     library = Tokenizer.from_file(registry.vocabulary("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -153,6 +152,18 @@ def test_packing(spark, texts):
         assert at <= 1024
 
 
+def test_packing_of_special_token_text(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n y", "  <|endoftext|>\n\n  z", "<|endoftext>|", "<|ENDOFTEXT|>"]
+    library = Tokenizer.from_file(registry.vocabulary("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in retrieval_packing.pack(docs, registry.vocabulary("byte_bpe_50k.tiktoken"), registry.PATTERN, special=registry.SPECIAL).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert (rows[i].doc_tokens, rows[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_shard_prefers_related_rests():
     rests = [np.array(x, np.uint32) for x in ([1, 2, 3, 4], [9, 8, 7, 6], [1, 2, 3, 5], [9, 8, 7, 5])]
     index = retrieval_packing.Shard(rests)
