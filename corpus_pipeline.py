@@ -58,7 +58,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens."""
-    return retrieval_packing.pack(docs, registry.vocabulary("byte_bpe_50k.tiktoken"), registry.PATTERN)
+    return retrieval_packing.pack(docs, registry.vocabulary("byte_bpe_50k.tiktoken"), registry.PATTERN, special=registry.SPECIAL)
 
 
 STAGES = [
