@@ -24,6 +24,8 @@ SENTENCE = re.compile(r"[^\n]*?(?:[.!?…。！？]+[\"'”’»)\]]*(?:[^\S\n]+
 SENTENCES, WORDS = 2, 24
 #: ... or is one sentence of so many words.
 LONE_WORDS = 40
+#: Texts without a mark need not meet the covers. The marks of a corpus take 4 MB at most; with far more covers all texts are marked.
+MARK_BITS = 1 << 25
 RESULTS = ("n_sentences", "n_removed", "removed")
 
 
@@ -67,6 +69,25 @@ def sentence_runs(texts: list[str | None], sentences: int, least_words: int, lon
     return row[at], (at - base[row[at]]).astype(np.int32), (end - at).astype(np.int32), hashes[0], hashes[1]
 
 
+def _slot(key: F.Column) -> F.Column:
+    return F.pmod(key, F.lit(MARK_BITS)) + 1
+
+
+def _marks(keys: DataFrame) -> DataFrame:
+    """A bitmap over the slots of the keys, in pieces; at most ``MARK_BITS`` bits, however many keys there are."""
+    slot = _slot(F.col("key"))
+    return keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` with ``marked``: false only where ``key`` is none of the bitmap's keys."""
+    slot = _slot(F.col("key"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return rows.join(marks, F.bitmap_bucket_number(slot) == F.col("bucket"), "left").withColumn("marked", hit)
+
+
 def _runs(sentences: int, least_words: int, lone_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -127,8 +148,13 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int
         # Bounded by one document's sentences.
         cover = again.groupBy("doc_id", "content").agg(F.collect_set(F.struct("first", "size")).alias("cover"))
         cover = written(cover.withColumnsRenamed({"doc_id": "of_doc", "content": "of_content"}), "cover", keep=True)
+        marks = written(_marks(cover.select(F.xxhash64("of_doc", "of_content").alias("key"))), "marks", keep=True)
     same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("content") == F.col("of_content"))
-    joined = flat.join(cover, same, "left").select("doc_id", "text", "others", "cover")
+    marked = _marked(flat.withColumn("key", F.xxhash64("doc_id", "content")), marks)
+    columns = ["doc_id", "text", "others", "cover"]
+    joined = marked.where("marked").join(cover, same, "left").select(columns)
+    others_kept = marked.where("not marked").withColumn("cover", F.lit(None).cast(cover.schema["cover"].dataType))
+    joined = joined.unionAll(others_kept.select(columns))
     results = T.StructType.fromDDL("text string, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>")
     out = joined.mapInArrow(_cut, T.StructType([flat.schema["doc_id"], flat.schema["others"], *results]))
     return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in given.columns], *RESULTS)
