@@ -85,7 +85,8 @@ def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
     place = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-    return rows.join(marks, F.bitmap_bucket_number(slot) == F.col("bucket"), "left").withColumn("marked", hit)
+    # Broadcast whatever the session's threshold: the size is bounded by ``MARK_BITS``, and a join by exchange would shuffle all texts.
+    return rows.join(F.broadcast(marks), F.bitmap_bucket_number(slot) == F.col("bucket"), "left").withColumn("marked", hit)
 
 
 def _runs(sentences: int, least_words: int, lone_words: int):

@@ -278,6 +278,23 @@ def test_sentence_spans_of_rows_that_share_an_id(spark):
         assert all((r.cover, r.others, r["_doc"]) == (5, 6, 7) for r in rows.values()) and rows[alone].n_removed == 0
 
 
+def test_only_marked_texts_are_shuffled_whatever_the_threshold(spark):
+    """The bitmap reaches every task, so neither it nor the texts that it marks off meet in an exchange of their own."""
+    sentence = lambda name, n: " ".join(f"{name}{k}" for k in range(n)) + ". "
+    docs = [(k, sentence(f"own{k}x", 30) + (sentence("p", 30) + sentence("q", 30)) * (k % 3 == 0)) for k in range(30)]
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        cut = sentence_spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        rows = {r.doc_id: r.n_removed for r in cut.collect()}
+    finally:
+        spark.conf.unset(threshold)
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+    assert plan.count("Exchange hashpartitioning") == 2 and "bitmap_bucket_number" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    assert rows == {k: 2 if k % 3 == 0 and k else 0 for k in range(30)}
+
+
 def test_quality(spark, texts):
     for r in found(spark, "op10_quality_lines"):
         t = texts[r.doc_id]
