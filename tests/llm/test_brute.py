@@ -1,9 +1,12 @@
 """Operators that SQL can't express, against plain models on the small tables."""
 
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from hashlib import sha256
 
 import compare
 import numpy as np
@@ -109,6 +112,25 @@ def test_bpe(spark, texts):
     assert [codec.known[p][2].decode() for p in odd] == odd
 
 
+def test_bpe_learns_at_little_more_than_the_cost_of_its_rounds():
+    """Preparing and decoding new pieces once took more CPU than the recursive query."""
+    path = registry.vocabulary("byte_bpe_multi_50k.tiktoken")
+    draw = random.Random(4)
+    pieces = sorted({" " + "".join(draw.choices("abcdeéèñostrnilß", k=draw.randint(4, 12))) for _ in range(30_000)})
+    codec, learned, rounds = bpe_duckdb.PartitionCodec(path), [], []
+    for _ in range(4):
+        began = time.process_time()
+        codec.learn(pieces)
+        between = time.process_time()
+        codec.db.execute(f"CREATE OR REPLACE TABLE done AS {bpe_duckdb.ENCODE} {bpe_duckdb.LAST_ROUND}")
+        learned.append(between - began)
+        rounds.append(time.process_time() - between)
+    assert min(learned) < 1.7 * min(rounds)
+    sha = lambda b: sha256(b).hexdigest()
+    known = [codec.known[p] for p in pieces[:3000]]
+    assert [(n, sha(ids.encode()), sha(code)) for ids, n, code in known] == bpe_duckdb.brute(pieces[:3000], path, registry.PATTERN)
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300")
     rows = langid.identify(docs, registry.vocabulary("byte_bpe_multi_50k.tiktoken")).join(docs, "doc_id").where("held_out")
