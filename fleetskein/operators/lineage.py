@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetskein.operators.artifacts import hydrate
 from fleetskein.schemas import EDGE_COLUMNS
@@ -22,6 +22,12 @@ from fleetskein.session import written
 USUAL_DEPTH = 10
 
 _STATE = ["root_id", "vertex", "heading"]
+#: Where an edge meets the states of a heading.
+_END = {"out": "source_id", "in": "target_id"}
+#: Bits of the map that keeps edges away from a join where they meet no state: a power of two, broadcast as words of 64 bits.
+MARK_BITS = 1 << 24
+#: Up to so many states meet the edges as they are, and equal rows are made one afterwards.
+FEW = 1000
 
 
 def lineage_edges_of_many(traces: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -30,6 +36,10 @@ def lineage_edges_of_many(traces: DataFrame, roots: DataFrame, max_depth: int |
     Only (root, vertex, heading) states go round the loop, over two edge columns;
     every level is written, so that its real size decides between broadcast and
     shuffle, and the edges themselves are fetched once at the end.
+
+    With more than ``FEW`` states, equal edges are made one before they meet the states, not after: a state is there
+    once, so no (root, edge) that leaves a state comes twice, and those that arrive at one are left out where they
+    leave one too. The rows of all roots are so never shuffled, and the caller's sums see them as the join makes them.
     """
     bounded = max_depth is not None and max_depth > 0
     ends = traces.select("source_id", "target_id")
@@ -38,18 +48,30 @@ def lineage_edges_of_many(traces: DataFrame, roots: DataFrame, max_depth: int |
         roots.select("root_id", F.col("root_id").alias("vertex")).distinct().withColumn("heading", both_ways),
         "lineage-0",
     )
+    few = (known := seen.count()) <= FEW
     for level in range(1, max_depth) if bounded else itertools.count(1):
         reached = F.explode(F.array(
             F.struct(F.col("target_id").alias("vertex"), F.lit("out").alias("heading")),
             F.struct(F.col("source_id").alias("vertex"), F.lit("in").alias("heading")),
         ))
-        states = _touching(ends, frontier).select("root_id", reached.alias("state")).select("root_id", "state.*")
+        near = (ends if few else _near(ends, frontier, h) for h in _END)
+        states = _touching(*near, frontier).select("root_id", reached.alias("state")).select("root_id", "state.*")
         fresh = states.distinct().join(seen, _STATE, "left_anti")
         frontier = written(fresh, f"lineage-{level}")
-        if frontier.isEmpty():
+        entered = frontier.count()
+        if not entered:
             break
         seen = seen.unionByName(frontier)
-    return _touching(_comparable(traces), seen).select("root_id", *EDGE_COLUMNS).distinct()
+        few = (known := known + entered) <= FEW
+    columns = ["root_id", *EDGE_COLUMNS]
+    edges = _comparable(traces)
+    if few:
+        return _touching(edges, edges, seen).select(columns).distinct()
+    leaving, arriving = (_once(_near(edges, seen, h), h).join(_at(seen, h), _END[h]).select(columns) for h in _END)
+    arriving = written(arriving, "lineage-arriving")
+    if arriving.isEmpty():
+        return leaving
+    return leaving.unionByName(arriving.join(_at(seen, "out"), ["root_id", "source_id"], "left_anti").select(columns))
 
 
 def lineage_edges(traces: DataFrame, root_id: str, max_depth: int | None = None) -> DataFrame:
@@ -75,8 +97,33 @@ def _comparable(traces: DataFrame) -> DataFrame:
     return traces.withColumn("run_id", F.coalesce("run_id", F.lit(""))).select(*EDGE_COLUMNS)
 
 
-def _touching(edges: DataFrame, states: DataFrame) -> DataFrame:
+def _at(states: DataFrame, heading: str) -> DataFrame:
+    """The states of one heading, by the end of the edges that they expand."""
+    return states.filter(F.col("heading") == heading).select("root_id", F.col("vertex").alias(_END[heading]))
+
+
+def _touching(leaving: DataFrame, arriving: DataFrame, states: DataFrame) -> DataFrame:
     """Edges that the states expand. Two equi joins: a join on "source or target" would try all pairs."""
-    out = states.filter("heading = 'out'").select("root_id", F.col("vertex").alias("source_id"))
-    into = states.filter("heading = 'in'").select("root_id", F.col("vertex").alias("target_id"))
-    return edges.join(out, "source_id").unionByName(edges.join(into, "target_id"))
+    return leaving.join(_at(states, "out"), "source_id").unionByName(arriving.join(_at(states, "in"), "target_id"))
+
+
+def _once(edges: DataFrame, heading: str) -> DataFrame:
+    """Distinct edges, dealt out as the join with the states of the heading needs them."""
+    return edges.repartition(_END[heading]).distinct()
+
+
+def _near(edges: DataFrame, states: DataFrame, heading: str) -> DataFrame:
+    """``edges`` without most of those that meet no state of the heading. The others are left to the join."""
+    end = _END[heading]
+    word, bit = _place(F.col(end))
+    marks = _at(states, heading).select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("bits")
+    )
+    # Broadcast whatever the session's threshold: the size is bounded by ``MARK_BITS``, and a join by exchange would shuffle all edges.
+    return edges.join(F.broadcast(marks), (word == F.col("word")) & (F.getbit("bits", bit) == 1), "left_semi")
+
+
+def _place(vertex: Column) -> tuple[Column, Column]:
+    """Word and bit of a vertex."""
+    slot = F.xxhash64(vertex).bitwiseAND(MARK_BITS - 1)
+    return F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")

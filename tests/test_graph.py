@@ -1,6 +1,7 @@
 """Lineage and artifacts against sequential models."""
 
 import random
+import re
 
 import compare
 import pytest
@@ -59,6 +60,30 @@ def test_hand_made_walks(spark):
     assert found("nobody", -1) == []
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_rows_of_all_roots_come_once_and_are_not_shuffled_for_it(spark, monkeypatch, few):
+    """Edges that are there twice, met at both ends, without an end, or by roots that are there twice."""
+    monkeypatch.setattr(lineage, "FEW", few)
+    edges = [("a", "b"), ("a", "b"), ("b", "a"), ("b", "b"), ("b", "c"), ("c", "d"), ("x", "c"), (None, "b"), ("c", None), ("far", "off")]
+    table = traces(spark, edges)
+    roots = spark.createDataFrame([("a",), ("a",), ("c",), (None,), ("none",)], "root_id string")
+    named = {(s or "no source", t or "no target") for s, t in edges}
+    for depth in (1, 2, 3, None):
+        found = lineage.lineage_edges_of_many(table, roots, depth)
+        got = sorted((r["root_id"], r["source_id"] or "no source", r["target_id"] or "no target") for r in found.collect())
+        assert got == sorted((root, *e) for root in "ac" for e in walk(named, root, depth or 10))
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert few or not re.search(r"Aggregate\(keys=\[[^\]]*root_id", text)
+
+
+def test_far_edges_do_not_reach_the_join(spark):
+    many = spark.range(20_000).select(F.concat(F.lit("v"), "id").alias("source_id"), F.concat(F.lit("w"), "id").alias("target_id"))
+    states = spark.createDataFrame([("r", "v7", "out"), ("r", "w9", "in"), ("r", None, "in")], "root_id string, vertex string, heading string")
+    for heading, met in (("out", "v7"), ("in", "w9")):
+        near = [r[lineage._END[heading]] for r in lineage._near(many, states, heading).collect()]
+        assert met in near and len(near) < 20
+
+
 def test_edges_differing_only_in_key_order_are_one(spark):
     raw = spark.createDataFrame(
         [("a", "b", {"z": "1", "a": "2"}), ("a", "b", {"a": "2", "z": "1"})], "s string, t string, m map<string,string>"
