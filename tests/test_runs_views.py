@@ -57,6 +57,17 @@ def test_overlapping_and_long_runs(spark):
     assert plain.count() == len(got)
 
 
+def test_metrics_of_a_run_are_read_once(spark, monkeypatch):
+    """What is asked of a run's end before its slots are laid out doesn't parse the metrics again."""
+    rows = ledger(spark, [start("a", 0, 1, 7200), start("a", 5, 2, -3), start("b", 9, 3, None), sensor("a", 60), sensor("b", 60)])
+    laid_out = []
+    monkeypatch.setattr(runs, "written", lambda df, label: laid_out.append(df) or df)
+    found = runs.all_run_telemetry(rows)
+    assert [(r["node_id"], r["run_id"], r["event_id"]) for r in found.collect()] == [("a", 1, 3)]
+    parsers = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("get_json_object")
+    assert 0 < parsers(laid_out[0]) <= parsers(runs.runs(rows))
+
+
 def test_unload(spark):
     rows = ledger(spark, [sensor(f"n{i % 3}", (i * 7919) % 50_000) for i in range(500)])
     ordered = rows.orderBy("event_timestamp", "event_id").collect()
